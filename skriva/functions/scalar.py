@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 from itertools import chain, combinations
 
 from pyspark.sql import Column
@@ -21,14 +22,14 @@ def text_id(text: Column) -> Column:
 
     Done in decimals, as ANSI mode raises on overflow of longs. The multiplier is split so that no product leaves 38 digits.
     """
-    mod = F.lit(1 << 64).cast(_WORD)
+    mod = F.lit(Decimal(1 << 64)).cast(_WORD)
     folded = F.aggregate(code_points(text), F.lit(0).cast(_WORD), lambda a, c: ((a * F.lit(31).cast("decimal(2,0)") + c.cast("decimal(10,0)")) % mod).cast(_WORD))
     high, low = divmod(6364136223846793005, 1 << 32)
     top = ((folded * F.lit(high).cast("decimal(12,0)")) % mod).cast("decimal(20,0)")
     shifted = ((top * F.lit(1 << 32).cast("decimal(12,0)")).cast(_WORD) % mod).cast("decimal(20,0)")
     rest = (folded * F.lit(low).cast("decimal(12,0)") % mod).cast("decimal(20,0)")
     whole = ((shifted + rest + F.lit(1442695040888963407).cast("decimal(20,0)")).cast(_WORD) % mod).cast("decimal(20,0)")
-    return F.when(whole >= F.lit(1 << 63).cast(_WORD), whole - mod).otherwise(whole).cast("long")
+    return F.when(whole >= F.lit(Decimal(1 << 63)).cast(_WORD), whole - mod).otherwise(whole).cast("long")
 
 
 def document_id(kind: str, *parts: Column) -> Column:
@@ -125,7 +126,7 @@ def from_little_endian(x: Column, width: int = 8) -> Column:
     """The unsigned integer (for width 8 the signed one) of such bytes."""
     digits = F.concat(*[F.substring(F.hex(x), 2 * (width - i) - 1, 2) for i in range(width)])
     value = F.conv(digits, 16, 10).cast("decimal(20,0)")
-    return F.when(value >= F.lit(1 << 63).cast("decimal(20,0)"), value - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(value).cast("long")
+    return F.when(value >= F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), value - F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(value).cast("long")
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
