@@ -20,11 +20,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_news_texts(spark: SparkSession, folder: str, compatible_ids: bool = True) -> DataFrame:
-    """<folder>/<category>/<file>: (doc_id, category, title, content); the first line is the title, the rest, with its line end, the content."""
-    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
-    title = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    parts = F.split(F.input_file_name(), "/")
-    rows = raw.select(F.url_decode(F.replace(F.get(parts, F.size(parts) - 2), F.lit("+"), F.lit("%2B"))).alias("category"), title.alias("title"), F.substring(F.col("value"), F.length(title) + 1, F.length("value")).alias("content"))
+    """<folder>/<category>/<file>: (doc_id, category, title, content); the first line is the title, the rest, with its line end, the content. An empty file is no document, as Spark plans no read of it."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    value, parts = F.col("value"), F.split("path", "/")
+    title = F.regexp_extract(value, r"^([^\r\n]*)", 1)
+    rows = raw.select("path", F.col("content").cast("string").alias("value")).select(F.get(parts, F.size(parts) - 2).alias("category"), title.alias("title"), F.substring(value, F.length(title) + 1, F.length(value)).alias("content"))
     return _with_id(rows, "Sina", compatible_ids, "category", "title")
 
 
