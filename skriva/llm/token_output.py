@@ -41,15 +41,13 @@ def encoding(path: str = VOCABULARY):
 def token_udf(path: str = VOCABULARY):
     @F.arrow_udf("array<int>")
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(path).encode_to_numpy  # never a list of Python integers, which takes nine times the memory
         for texts in batches:
-            ids = [None if (t := x.as_py()) is None else encode(t) for x in texts]
-            ends = np.cumsum([0] + [len(x or ()) for x in ids], dtype=np.int32)
-            flat = np.empty(ends[-1], np.int32)
-            for x, a, b in zip(ids, ends[:-1].tolist(), ends[1:].tolist()):
-                if x:
-                    flat[a:b] = x
+            ids = [None if not x.is_valid else encode(x.as_py(), disallowed_special=()).astype(np.int32) for x in texts]
+            ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids], dtype=np.int32)
             null = pa.array([x is None for x in ids], pa.bool_())
+            flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)])
+            del ids
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=null)
 
     return tokens
