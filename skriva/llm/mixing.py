@@ -7,9 +7,10 @@ blocks of BLOCK_TOKENS tokens; the r-th slot of a source takes its block r modul
 quotient is the epoch. The schedule ends with the slot by which every source has given all its blocks, so
 every document appears; sources that have less than their target share repeat.
 
-A document is in the block where its first token falls. A document longer than a block leaves the blocks that it
-covers empty, so that slots stay equal in tokens. Tokens are runs of other characters than space, tab and line
-ends. The default target is the share of tokens to the power ALPHA. No source is ordered or counted by one task:
+A document is in the block where its first token falls, one without tokens in that of the token before it. A
+document longer than a block leaves the blocks that it covers empty, so that slots stay equal in tokens. Tokens are
+runs of other characters than space, tab and line ends. The default target is the share of blocks to the power
+ALPHA; as a source has one block at least, a tiny one can't make the others repeat for thousands of slots. No source is ordered or counted by one task:
 running totals are taken within hash ranges, whose totals are then added up.
 
 Defined results: rows that share a doc_id stay together in one block; a null doc_id is replaced by a hash of the
@@ -63,7 +64,7 @@ def point(slot: Column, sequence: str) -> Column:
 def shares(blocks: DataFrame, targets: DataFrame | None, alpha: float) -> DataFrame:
     """(k, blocks, lo, hi) of each source: its number of blocks and its stretch of the cumulative weights."""
     if targets is None:
-        raw = blocks.withColumn("w", F.pow(F.greatest(F.col("tokens"), F.lit(1)).cast("double"), F.lit(alpha)))
+        raw = blocks.withColumn("w", F.pow(F.col("blocks").cast("double"), F.lit(alpha)))
     else:
         t = targets.select(_source("source").alias("k"), F.col("weight").cast("double").alias("w")).filter("w > 0").groupBy("k").agg(F.sum("w").alias("w"))
         raw = blocks.join(t, "k")
@@ -92,15 +93,16 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets:
     """(k, key, tokens, slot, block, epoch): where each document goes."""
     rows = docs.select(_source(source_col).alias("k"), _key(id_col, text_col, seed).alias("key"), token_count(F.col(text_col)).alias("tokens"))
     units = rows.groupBy("k", "key").agg(F.sum("tokens").alias("tokens")).withColumn("part", F.substring("key", 1, 3))
-    placed = running_total(units, "k", "part", ["key"], "tokens", "at").withColumn("block", F.floor(F.col("at") / block_tokens).cast("long")).drop("part", "at")
-    totals = placed.groupBy("k").agg(F.sum("tokens").alias("tokens"), (F.max("block") + 1).alias("blocks"))
+    place = F.when(F.col("tokens") == 0, F.greatest(F.col("at") - 1, F.lit(0))).otherwise(F.col("at"))
+    placed = running_total(units, "k", "part", ["key"], "tokens", "at").withColumn("block", F.floor(place / block_tokens).cast("long")).drop("part", "at")
+    totals = units.groupBy("k").agg(F.greatest(F.ceil(F.sum("tokens") / block_tokens), F.lit(1)).alias("blocks"))
     return placed.join(slots(docs.sparkSession, shares(totals, targets, alpha), sequence), ["k", "block"])
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: DataFrame | None = None, block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, sequence: str = "golden", seed: str = SEED) -> DataFrame:
     """(slot, source, block, epoch, doc_id, tokens), a row for each time a document appears.
 
-    targets: (source, weight), or None for the shares of tokens to the power alpha. With the columns of one
+    targets: (source, weight), or None for the shares of blocks to the power alpha. With the columns of one
     row a document, tokens are the document's own.
     """
     plan = _plan(docs, id_col, text_col, source_col, targets, block_tokens, alpha, sequence, seed).drop("tokens")
@@ -110,10 +112,10 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: DataFrame | None = None, block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, sequence: str = "golden", seed: str = SEED) -> DataFrame:
     """The rows of docs in the order of the schedule, with all columns; repeated where a source repeats."""
-    plan = _plan(docs, id_col, text_col, source_col, targets, block_tokens, alpha, sequence, seed).select(F.col("k").alias("__k"), F.col("key").alias("__key"), F.col("slot").alias("__slot"))
-    rows = docs.withColumns({"__k": _source(source_col), "__key": _key(id_col, text_col, seed)})
-    out = rows.join(plan, ["__k", "__key"]).repartitionByRange("__slot", "__key").sortWithinPartitions("__slot", "__key")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = _plan(docs, id_col, text_col, source_col, targets, block_tokens, alpha, sequence, seed).select("k", "key", "slot")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so no name clashes
+    rows = docs.select(whole.alias("row"), _source(source_col).alias("k"), _key(id_col, text_col, seed).alias("key"))
+    return rows.join(plan, ["k", "key"]).repartitionByRange("slot", "key").sortWithinPartitions("slot", "key").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +124,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, md5('{SEED}|' || doc_id::VARCHAR) AS key, len(regexp_extract_all(text, '[^ \t\n\r]+'))::BIGINT AS tokens FROM documents),
-p AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {BLOCK_TOKENS} AS block FROM d),
-t AS (SELECT source, max(block) + 1 AS blocks, pow(greatest(sum(tokens), 1)::DOUBLE, {ALPHA}::DOUBLE) AS w FROM p GROUP BY source),
+a AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d),
+p AS (SELECT *, (CASE WHEN tokens = 0 THEN greatest(pos - 1, 0) ELSE pos END) // {BLOCK_TOKENS} AS block FROM a),
+b AS (SELECT source, greatest(ceil(sum(tokens) / {BLOCK_TOKENS}), 1)::BIGINT AS blocks FROM p GROUP BY source),
+t AS (SELECT source, blocks, pow(blocks::DOUBLE, {ALPHA}::DOUBLE) AS w FROM b),
 s0 AS (SELECT source, blocks, round(w / sum(w) OVER (), 12) AS w FROM t),
 s1 AS (SELECT *, round(sum(w) OVER (ORDER BY source), 12) AS hi, max(source) OVER () AS last FROM s0),
 s AS (SELECT source, blocks, w, round(hi - w, 12) AS lo, CASE WHEN source = last THEN 2.0::DOUBLE ELSE hi END AS hi FROM s1),

@@ -149,11 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group, with all columns, and every row with a null id."""
-    gone = near_duplicates(docs, id_col, text_col, radius).filter(~F.col("keep")).select(F.col("doc_id").alias("__gone"))
-    some = docs.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    one = some.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return one.union(docs.filter(F.col(id_col).isNull()))
+    gone = near_duplicates(docs, id_col, text_col, radius).filter(~F.col("keep")).select("doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so no name clashes
+    first = Window.partitionBy("doc_id").orderBy(F.col("row").getField(text_col), F.xxhash64("row"))
+    some = rows.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return some.select("row").union(rows.filter("doc_id IS NULL").select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
