@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_order
+from .common import cut, hash_order
 
 MAX_TOXIC, MAX_CLEAN = 4000, 12000
-MIN_CONTEXTS, MIN_LOG_ODDS, MIN_WORDS, MAX_TERMS = 5, 3.5, 5, 5000
+MIN_CONTEXTS, MIN_LOG_ODDS, MIN_WORDS, MAX_TERMS = 5, 3.0, 5, 5000
 BEGINNINGS = (4, 5, 6, 7, 8)
-SMOOTH, THRESHOLD, EVIDENCE = 50, 4.0, 0.9
+SMOOTH, THRESHOLD, EVIDENCE = 50, 5.0, 0.9
 
 LEXICON = {w: 1.0 for w in (
     "idiot idiots moron morons stupid loser losers scum scumbag clown clowns pathetic worthless disgusting trash imbecile "
@@ -158,7 +158,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     pairs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("y", F.explode(words("t")).alias("w"))  # the sample's size is bounded
     seen = pairs.groupBy("w").agg(F.max("y").alias("y"), F.min("y").alias("z")).select(F.substring_index("w", "|", 1).alias("word"), "y", "z")
-    counts = seen.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("z")).alias("b"))
+    counts = cut(seen.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("z")).alias("b")))  # read three times
     total = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     if not total or not total.a or not total.b:
         return {}
