@@ -30,12 +30,18 @@ def get_spark(app: str = "skriva", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session. Only where it is unset, as in tests, a temporary folder is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skriva-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset in local mode, as in tests, a temporary folder is made and set. A cluster without it is a
+    ValueError, as no folder of one machine would do.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skriva-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
