@@ -17,7 +17,7 @@ from .dictionary_data import words
 
 TokenFilter = Callable[[Column], Column]
 #: Characters at which Chinese text is cut into lines; the space is one, line ends aren't.
-LINE_MARKS = "，。？！；【】《》‘’[]<>/-=\\*$%?（） "
+LINE_MARKS = " $%*-/<=>?[\\]" + "‘’《》【】。！，；？（）"
 _LINE = "[" + "".join("\\" + c if ord(c) < 128 else c for c in LINE_MARKS) + "]"
 
 

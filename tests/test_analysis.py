@@ -44,7 +44,7 @@ def test_tokenizer_property(spark, text):
 
 def test_english_filters(spark):
     assert run(spark, "HELLO! THIS Is My Dog", lambda t: T.lowercase(F.array(t))) == ["hello! this is my dog"]
-    assert run(spark, "cat cats fish fishing fished airline", lambda t: T.stems(K.english(t))) == ["cat", "cat", "fish", "fish", "fish", "airlin"]
+    assert run(spark, "cat cats fish fishing fished airline", lambda t: T.stems(K.english(t))) == "cat cat fish fish fish airlin".split()
     assert run(spark, "i am the cat", lambda t: T.stop_words()(K.english(t))) == ["cat"]
     assert run(spark, "A nouns is a word", lambda t: T.nouns()(K.english(t))) == ["nouns", "word"]
     assert run(spark, "a bc", lambda t: T.min_length(2)(K.english(t))) == ["bc"]

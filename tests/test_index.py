@@ -115,8 +115,8 @@ def test_news_loader(spark, tmp_path):
 def test_wiki_loader(spark, tmp_path):
     import gzip
 
-    xml = '<feed><doc><title>T2</title><url>http://x</url><abstract>abc</abstract><links><sublink linktype="nav"><anchor>A</anchor><link>http://x#A</link></sublink></links></doc></feed>'
+    xml = '<feed><doc><title>T2</title><url>http://x</url><abstract>abc</abstract><links><sublink linktype="menu"><anchor>A</anchor><link>http://x#A</link></sublink></links></doc></feed>'
     with gzip.open(tmp_path / "w.xml.gz", "wt") as f:
         f.write(xml)
     r = loaders.read_wiki_xml(spark, str(tmp_path / "w.xml.gz")).first()
-    assert (r.title, r.url, r.abstract) == ("T2", "http://x", "abc") and r.sublinks[0].asDict() == {"linktype": "nav", "anchor": "A", "link": "http://x#A"}
+    assert (r.title, r.url, r.abstract) == ("T2", "http://x", "abc") and r.sublinks[0].asDict() == {"linktype": "menu", "anchor": "A", "link": "http://x#A"}
