@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from .operators import query as Q
 from .operators.index import LOWER, Analyzer, doc_stats, field_column, postings, unbuilt, vocabulary
 from .schema import BUILD_LOG, DOC_STATS, NotFound, QueryLevel
 from .sources import store
+from .sources.loaders import latest
 
 
 class SearchEngine:
@@ -28,13 +30,18 @@ class SearchEngine:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def load(self, docs: DataFrame) -> None:
-        """Append documents (with doc_id); an id that is there already is replaced for readers, who take the latest."""
-        store.write_documents(docs, f"{self.path}/documents")
+        """Append documents (with doc_id); an id that is there already is replaced for readers, who take the latest load."""
+        store.write_documents(docs, f"{self.path}/documents/load={time.time_ns()}")
 
     @property
-    def documents(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """All that was loaded, with the column `load`."""
         return self.spark.read.parquet(f"{self.path}/documents")
 
+    @property
+    def documents(self) -> DataFrame:
+        return latest(self.stored, F.col("load")).drop("load")
+
     @property
     def postings(self) -> DataFrame:
         return store.read_postings(self.spark, f"{self.path}/postings")
@@ -49,11 +56,11 @@ class SearchEngine:
 
     def build(self, field: str) -> int:
         """Index the documents whose field isn't built yet; gives their number. A field that doesn't exist is a ValueError."""
-        docs = self.documents
+        docs = self.stored
         field_column(docs, field)
         log = self.build_log
         batch = (log.agg(F.max("batch_id")).first()[0] or 0) + 1
-        new = unbuilt(docs.dropDuplicates(["doc_id"]), log, field)
+        new = latest(unbuilt(docs, log, field), F.col("load"))
         store.write_postings(postings(new, field, self.analyzer), f"{self.path}/postings")
         doc_stats(new, field, unit=self.length_unit).write.mode("append").parquet(f"{self.path}/stats")
         new.select(F.lit(field).alias("field"), "doc_id", F.lit(batch).cast("long").alias("batch_id")).write.mode("append").parquet(f"{self.path}/log")
@@ -107,7 +114,8 @@ class SearchEngine:
         """The k best documents, with their columns."""
         tokens = self.analyze(text)
         best = Q.top_k(Q.bm25(self.postings, self.stats, tokens, None, every, field=field, **self.bm25), k)
-        return best.join(self.documents.dropDuplicates(["doc_id"]), "doc_id")
+        found = self.stored.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")  # best has k rows
+        return best.join(latest(found, F.col("load")).drop("load"), "doc_id")
 
     def fetch(self, ids: Sequence[int]) -> DataFrame:
-        return store.fetch(self.documents, ids)
+        return latest(store.fetch(self.stored, ids), F.col("load")).drop("load")
