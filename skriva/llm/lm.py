@@ -9,12 +9,14 @@ scored by the other fold, so no text predicts itself, and equal texts are in one
 Method. With counts at rest the bits of a byte depend only on its gram (ORDER context bytes and itself), so:
 1. documents are grouped into blocks of about BLOCK_BYTES by hash; per block, numpy numbers the trie's nodes level
    by level for all positions at once and gives the distinct grams with counts;
-2. grams go by their last two context bytes into parts; as these fix the contexts of order 2 to ORDER, a part
-   computes the bits of its grams with exclusion alone, but for the order-1 and order-0 counts, a table of at
+2. grams go by their last two context bytes into parts; as these fix the contexts of order 2 to ORDER, the bits of a
+   part's grams with exclusion need no other part, but for the order-1 and order-0 counts, a table of at
    most 2 x 256 x 256 numbers that every task gets;
-3. a part answers each block's grams, and the blocks add the bits up by document.
-What is gathered - distinct grams of every block - grows with the corpus, and no task holds more than a block, or a
-part of the grams. Grams and bits travel as packed arrays.
+3. the blocks' lists of a part are merged FAN at a time, level by level, into one list of distinct grams with counts;
+4. every FAN blocks' lists of a part meet that list in a task of their own, which answers them, and the blocks add
+   the bits up by document.
+What is gathered - distinct grams of every block - grows with the corpus, and no task holds more than a block, FAN
+lists of a part, or a part's distinct grams, which a language bounds. Grams and bits travel as packed arrays.
 
 `adaptive_bits` codes one text by a model that starts empty and learns as it goes; `score_adaptive` maps it over
 documents. `Model` is the same as plain dictionaries, and what the tests hold the distributed form against.
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import load, shared_path
 
-ORDER, BLOCK_BYTES, PART_BYTES = 4, 8 << 20, 16 << 20
+ORDER, BLOCK_BYTES, PART_BYTES, MAX_PARTS, FAN = 4, 8 << 20, 16 << 20, 4096, 64
 _DENSE = 1 << 25
 
 
@@ -224,18 +226,35 @@ def gram_bits(grams: np.ndarray, train: np.ndarray, wanted: np.ndarray, pairs: n
     return bits
 
 
+def _squeeze(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").tobytes())
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams, their counts in either fold) of rows (grams, n0, n1), where a null has no counts."""
+    lists = [unpack(x) for x in table.column("grams").to_pylist()]
+    grams = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
+    train = np.zeros((2, len(grams)), np.int64)
+    for f in (0, 1):
+        for g, n in zip(lists, table.column(f"n{f}").to_pylist()):
+            if n is not None:
+                train[f][np.searchsorted(grams, g)] += np.frombuffer(zstandard.ZstdDecompressor().decompress(n), "<i8")
+    return grams, train
+
+
 def _texts(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) of every row."""
     if not 2 <= order <= 6:
         raise ValueError("order must be from 2 to 6")
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     half = max(1, -(-total // (2 * block_bytes)))
-    parts = max(4, -(-total // part_bytes))
+    parts = min(MAX_PARTS, max(4, -(-total // part_bytes)))
+    chunks = -(-2 * half // fan)
     fold = F.pmod(F.xxhash64(text_col), F.lit(2))
     block = F.pmod(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.lit(half)) * 2 + fold
     rows = docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -247,11 +266,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         edges = np.searchsorted(part[by], np.arange(parts + 1))
         pairs = np.bincount(grams & 0xFFFF, counts, 1 << 16).astype(np.int64) if len(grams) else np.zeros(1 << 16, np.int64)
         some = [(p, by[a:b]) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
-        out = [(p, pack(grams[i]), counts[i].astype("<i8").tobytes()) for p, i in some]
+        out = [(p, pack(grams[i]), _squeeze(counts[i])) for p, i in some]
         seen = np.flatnonzero(pairs)
         if len(seen):
-            out.append((-1, seen.astype("<i8").tobytes(), pairs[seen].astype("<i8").tobytes()))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64()), "part": pa.array([x[0] for x in out], pa.int64()), "grams": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(x[2]) for x in out], pa.binary())})
+            out.append((-1, seen.astype("<i8").tobytes(), _squeeze(pairs[seen])))
+        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64()), "part": pa.array([x[0] for x in out], pa.int64()), "grams": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
 
     path = shared_path(spark, "grams")
     rows.groupBy("block").applyInArrow(count, "block long, part long, grams binary, counts binary").write.parquet(path)
@@ -269,25 +288,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     for r in lists.filter("part = -1").mapInArrow(add_pairs, "fold long, pair long, n long").groupBy("fold", "pair").agg(F.sum("n").alias("n")).toLocalIterator():
         pairs[r.fold, r.pair >> 8, r.pair & 255] = r.n
 
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_pylist()
-        lists_ = [unpack(x) for x in table.column("grams").to_pylist()]
-        counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<i8") for x in table.column("counts").to_pylist()]
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        grams, train = _merged(table)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "chunk": pa.array([key[1].as_py()], pa.int64()), "grams": pa.array([pack(grams)], pa.binary()), "n0": pa.array([_squeeze(train[0])], pa.binary()), "n1": pa.array([_squeeze(train[1])], pa.binary())})
+
+    chunk, fold_of = F.floor(F.col("block") / fan).alias("chunk"), F.pmod("block", F.lit(2))
+    asked = lists.filter("part >= 0").select("part", chunk, "block", "grams", F.when(fold_of == 0, F.col("counts")).alias("n0"), F.when(fold_of == 1, F.col("counts")).alias("n1"))
+    model, left = asked.drop("block"), chunks
+    while True:
+        path = shared_path(spark, "merged")
+        model.groupBy("part", "chunk").applyInArrow(merge, "part long, chunk long, grams binary, n0 binary, n1 binary").write.parquet(path)
+        model = spark.read.parquet(path)
+        if left <= 1:
+            break
+        left = -(-left // fan)
+        model = model.withColumn("chunk", F.floor(F.col("chunk") / fan))
+    model = model.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+
+    def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = left.column("block").to_pylist()
         bits: list[bytes] = [b""] * len(blocks)
-        grams = np.unique(np.concatenate(lists_))
-        train = np.zeros((2, len(grams)), np.int64)
-        for k, g, n in zip(blocks, lists_, counts):
-            train[k % 2][np.searchsorted(grams, g)] += n
-        for f in (0, 1):
-            here = train[f] > 0
-            value = np.zeros(len(grams))
-            value[here] = gram_bits(grams, train[1 - f], grams[here], pairs[1 - f], order)
-            for i, (k, g) in enumerate(zip(blocks, lists_)):
-                if k % 2 == f:
-                    bits[i] = value[np.searchsorted(grams, g)].astype("<f4").tobytes()
-        return pa.table({"block": table.column("block"), "grams": table.column("grams"), "bits": pa.array(bits, pa.binary())})
-
-    answers = lists.filter("part >= 0").groupBy("part").applyInArrow(answer, "block long, grams binary, bits binary")
+        if blocks:
+            lists_ = [unpack(x) for x in left.column("grams").to_pylist()]
+            grams, train = _merged(right)
+            for f in (0, 1):
+                mine = [i for i, k in enumerate(blocks) if k % 2 == f]
+                if mine:
+                    wanted = np.unique(np.concatenate([lists_[i] for i in mine]))
+                    value = gram_bits(grams, train[1 - f], wanted, pairs[1 - f], order)
+                    for i in mine:
+                        bits[i] = value[np.searchsorted(wanted, lists_[i])].astype("<f4").tobytes()
+        return pa.table({"block": left.column("block"), "grams": left.column("grams"), "bits": pa.array(bits, pa.binary())})
+
+    answers = asked.select("part", "chunk", "block", "grams").groupBy("part", "chunk").cogroup(model.groupBy("part", "chunk")).applyInArrow(answer, "block long, grams binary, bits binary")
 
     def add_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts = _texts(left)
