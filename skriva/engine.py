@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import query as Q
-from .operators.index import LOWER, Analyzer, doc_stats, field_column, postings, unbuilt, vocabulary
-from .schema import BUILD_LOG, DOC_STATS, NotFound, QueryLevel
+from .operators.index import LOWER, Analyzer, vocabulary
+from .schema import NotFound, QueryLevel
 from .sources import store
 from .sources.loaders import latest
+from .streaming.build import build_batch, read_index
 
 
 class SearchEngine:
@@ -25,10 +26,6 @@ class SearchEngine:
     def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer = LOWER, length_unit: str = "chars", strict: bool = False, **bm25):
         self.spark, self.path, self.analyzer, self.length_unit, self.strict, self.bm25 = spark, path.rstrip("/"), analyzer, length_unit, strict, bm25
 
-    def _exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
     def load(self, docs: DataFrame) -> None:
         """Append documents (with doc_id); an id that is there already is replaced for readers, who take the latest load."""
         store.write_documents(docs, f"{self.path}/documents/load={time.time_ns()}")
@@ -44,27 +41,21 @@ class SearchEngine:
 
     @property
     def postings(self) -> DataFrame:
-        return store.read_postings(self.spark, f"{self.path}/postings")
+        return read_index(self.spark, self.path, "postings")
 
     @property
     def stats(self) -> DataFrame:
-        return self.spark.read.schema(DOC_STATS).parquet(f"{self.path}/stats")
+        return read_index(self.spark, self.path, "stats")
 
     @property
     def build_log(self) -> DataFrame:
-        return self.spark.read.schema(BUILD_LOG).parquet(f"{self.path}/log") if self._exists("log") else self.spark.createDataFrame([], BUILD_LOG)
+        return read_index(self.spark, self.path, "log")
 
     def build(self, field: str) -> int:
         """Index the documents whose field isn't built yet; gives their number. A field that doesn't exist is a ValueError."""
-        docs = self.stored
-        field_column(docs, field)
-        log = self.build_log
-        batch = (log.agg(F.max("batch_id")).first()[0] or 0) + 1
-        new = latest(unbuilt(docs, log, field), F.col("load"))
-        store.write_postings(postings(new, field, self.analyzer), f"{self.path}/postings")
-        doc_stats(new, field, unit=self.length_unit).write.mode("append").parquet(f"{self.path}/stats")
-        new.select(F.lit(field).alias("field"), "doc_id", F.lit(batch).cast("long").alias("batch_id")).write.mode("append").parquet(f"{self.path}/log")
-        return self.build_log.filter((F.col("field") == field) & (F.col("batch_id") == batch)).count()
+        batch = (self.build_log.agg(F.max("batch_id")).first()[0] or 0) + 1
+        build_batch(self.stored, batch, self.path, field, self.analyzer, self.length_unit)
+        return self.build_log.filter(F.col("batch_id") == batch).count()
 
     def fields(self) -> list[str]:
         return sorted(r.field for r in self.postings.select("field").distinct().collect())

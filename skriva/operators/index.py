@@ -58,10 +58,10 @@ def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, i
     return counted.select(F.lit(field).alias("field"), "token", "doc_id", (F.lit(1) if binary_tf else F.col("tf")).alias("tf"))
 
 
-def doc_stats(docs: DataFrame, field: str = "text", id_col: str = "doc_id", unit: str = "chars") -> DataFrame:
-    """(field, doc_id, field_len): length in chars or bytes; -1 where the field is null."""
+def doc_stats(docs: DataFrame, field: str = "text", id_col: str = "doc_id", unit: str = "chars", keep: Sequence[str] = ()) -> DataFrame:
+    """(field, doc_id, field_len) and the columns to keep: length in chars or bytes; -1 where the field is null."""
     length = {"chars": F.char_length, "bytes": F.octet_length}[unit]
-    return docs.select(F.lit(field).alias("field"), F.col(id_col).alias("doc_id"), F.coalesce(length(F.col(field_column(docs, field))), F.lit(-1)).cast("long").alias("field_len"))
+    return docs.select(F.lit(field).alias("field"), F.col(id_col).alias("doc_id"), F.coalesce(length(F.col(field_column(docs, field))), F.lit(-1)).cast("long").alias("field_len"), *keep)
 
 
 def vocabulary(post: DataFrame) -> DataFrame:

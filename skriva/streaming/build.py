@@ -1,6 +1,6 @@
-"""Micro-batches of documents into the index.
+"""Batches of documents into the index, from a stream or not.
 
-Each batch writes its postings, statistics and build log under folders named by the batch id, replacing
+Each batch writes its postings, statistics and build log under folders named by its number, replacing
 what an earlier attempt of that batch left, so that a batch that runs again after a failure counts once. Documents that the
 build log of earlier batches already has are skipped.
 """
@@ -11,32 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import LOWER, Analyzer, doc_stats, postings, unbuilt
+from ..operators.index import LOWER, Analyzer, doc_stats, field_column, postings, unbuilt
 from ..schema import BUILD_LOG, DOC_STATS, POSTINGS
+from ..sources.loaders import latest
+from ..sources.store import write_postings
 
 TABLES = {"postings": POSTINGS, "stats": DOC_STATS, "log": BUILD_LOG}
 
 
 def read_index(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A table that the batches wrote; empty before the first."""
-    spark_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
-    if not spark_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark_path):
-        return spark.createDataFrame([], TABLES[table])
-    return spark.read.schema(TABLES[table]).option("recursiveFileLookup", "true").parquet(f"{path}/{table}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+    empty = spark.createDataFrame([], TABLES[table])
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return empty
+    return spark.read.schema(f"{TABLES[table]}, batch long").parquet(f"{path}/{table}").select(*empty.columns)
 
 
-def build_batch(docs: DataFrame, batch: int, path: str, field: str = "text", analyzer: Analyzer = LOWER) -> None:
-    """Add the documents that aren't built yet; a batch with the same number replaces itself."""
-    spark = docs.sparkSession
+def build_batch(docs: DataFrame, batch: int, path: str, field: str = "text", analyzer: Analyzer = LOWER, unit: str = "chars") -> None:
+    """Add the documents that aren't built yet; a batch with the same number replaces itself.
+
+    Of several rows with one id that of the largest `load` counts, where docs has this column. Only the
+    field's column is read.
+    """
+    spark, column = docs.sparkSession, field_column(docs, field)
     earlier = read_index(spark, path, "log").filter(F.col("batch_id") < batch)
-    new = unbuilt(docs.dropDuplicates(["doc_id"]), earlier, field)
-    parts = {
-        "postings": postings(new, field, analyzer),
-        "stats": doc_stats(new, field),
-        "log": new.select(F.lit(field).alias("field"), "doc_id", F.lit(batch).cast("long").alias("batch_id")),
-    }
-    for name, df in parts.items():  # the log last: only with it does the batch count
-        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    order = F.col("load") if "load" in docs.columns else F.lit(0)
+    new = unbuilt(docs.select("doc_id", column, order.alias("load")), earlier, field)
+    lengths = doc_stats(new, field, unit=unit, keep=("load",))
+    log = new.select(F.lit(field).alias("field"), "doc_id", F.lit(batch).cast("long").alias("batch_id")).distinct()
+    write_postings(postings(latest(new, F.col("load")), field, analyzer), f"{path}/postings/batch={batch}", "overwrite")
+    latest(lengths, F.col("load")).drop("load").write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
+    log.write.mode("overwrite").parquet(f"{path}/log/batch={batch}")  # last: only with it does the batch count
 
 
 def stream_build(stream: DataFrame, path: str, checkpoint: str, field: str = "text", analyzer: Analyzer = LOWER, interval: str | None = None) -> StreamingQuery:
