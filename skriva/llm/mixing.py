@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import cut, load
 
 BLOCK_TOKENS, ALPHA, SEED = 4096, 0.9, "mix-1"
 GOLDEN, MODULUS, RANGE = 1327217885, 1 << 31, 4096
@@ -92,7 +92,7 @@ def slots(spark: SparkSession, share: DataFrame, sequence: str) -> DataFrame:
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame | None, block_tokens: int, alpha: float, sequence: str, seed: str) -> DataFrame:
     """(k, key, tokens, slot, block, epoch): where each document goes."""
     rows = docs.select(_source(source_col).alias("k"), _key(id_col, text_col, seed).alias("key"), token_count(F.col(text_col)).alias("tokens"))
-    units = rows.groupBy("k", "key").agg(F.sum("tokens").alias("tokens")).withColumn("part", F.substring("key", 1, 3))
+    units = cut(rows.groupBy("k", "key").agg(F.sum("tokens").alias("tokens")).withColumn("part", F.substring("key", 1, 3)))  # texts are read once for this
     place = F.when(F.col("tokens") == 0, F.greatest(F.col("at") - 1, F.lit(0))).otherwise(F.col("at"))
     placed = running_total(units, "k", "part", ["key"], "tokens", "at").withColumn("block", F.floor(place / block_tokens).cast("long")).drop("part", "at")
     totals = units.groupBy("k").agg(F.greatest(F.ceil(F.sum("tokens") / block_tokens), F.lit(1)).alias("blocks"))
