@@ -29,7 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.write_tokens(docs, shared_path(spark, "pipeline-tokens"))
+    """The mixed order stays as the column `position`, by which a reader of the tokens sorts."""
+    return token_output.write_tokens(docs, shared_path(spark, "pipeline-tokens"), position=token_output.file_position(docs))
 
 
 STAGES = [

@@ -4,7 +4,8 @@ Documents are encoded with a published byte-level BPE vocabulary (its path is a
 Arrow UDF. Spark's own ORC writer stores them: the `tokens` and `n_tokens` columns as run-length encoded integer
 streams, a row index entry every ROW_STRIDE rows, a Bloom filter on `doc_id` for each of those, and stripes of
 about STRIPE_BYTES, which readers take in parallel. Rows are sorted by `doc_id` inside each file, so minima and
-maxima prune as well as the Bloom filters do. Commit and retry are those of Spark's writer.
+maxima prune as well as the Bloom filters do. Where the order of the rows is a schedule, `position` (see `file_position`) takes
+the place of that sort: the rows keep it as a column, and each file is sorted by it. Commit and retry are those of Spark's writer.
 
 Defined results: a null text has null tokens and n_tokens 0; an empty text has an empty list and 0; rows with a
 null or repeated doc_id are kept as they are; an empty table gives an empty file set that reads back with the
@@ -19,7 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, shared_path
@@ -53,10 +55,28 @@ def token_udf(path: str = VOCABULARY):
     return tokens
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, tokens), sorted by doc_id within each partition."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).sortWithinPartitions("doc_id")
-    return rows.select("doc_id", token_udf(vocabulary)("text").alias("tokens")).select("doc_id", F.greatest(F.size("tokens"), F.lit(0)).alias("n_tokens"), "tokens")
+def file_position(docs: DataFrame) -> Column:
+    """Where a row is in the order in which docs were written: ascending, not consecutive.
+
+    Spark packs files into partitions by size, so the order of a reread isn't that of the writer. It is in the number
+    that Spark's writer gives to each part, the number of the file within the part, and the row's place in the file.
+    Rows that don't come from Parquet files have the order of their partitions.
+    """
+    meta = F.col("_metadata")
+    try:
+        docs.select(meta["file_name"], meta["row_index"]).schema  # a DataFrame that reads no Parquet has none
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    part, file = (F.regexp_extract(meta["file_name"], r"^part-(\d+)-.*?(?:-c(\d+))?\.[^-]*$", k) for k in (1, 2))
+    return F.shiftleft(part.cast("long"), 43) + F.shiftleft(F.when(file != "", file.cast("long")).otherwise(0), 33) + meta["row_index"]
+
+
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, position: Column | None = None) -> DataFrame:
+    """(doc_id, n_tokens, tokens), sorted by doc_id within each partition; with a position, that as a fourth column, and sorted by it."""
+    kept = [] if position is None else [position.alias("position")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept).sortWithinPartitions("position" if kept else "doc_id")
+    tokens = rows.select("doc_id", token_udf(vocabulary)("text").alias("tokens"), *["position"] * len(kept))
+    return tokens.select("doc_id", F.greatest(F.size("tokens"), F.lit(0)).alias("n_tokens"), "tokens", *["position"] * len(kept))
 
 
 def write_orc(tokens: DataFrame, path: str) -> None:
@@ -70,7 +90,7 @@ def write_orc(tokens: DataFrame, path: str) -> None:
     )
 
 
-def write_tokens(docs: DataFrame, path: str, **options: str) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, **options: str | Column) -> DataFrame:
     """Encode docs, write them at path, and give the DataFrame that reads them."""
     out = tokenize(docs, **options)
     write_orc(out, path)

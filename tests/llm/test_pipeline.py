@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as P
-from skriva.llm import decontaminate, simhash, token_output, toxicity
+from skriva.llm import decontaminate, mixing, simhash, token_output, toxicity
 
 from . import edge
 
@@ -40,6 +40,24 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, PATH).columns == docs.columns
 
 
+def test_tokens_keep_the_order_of_the_schedule(spark, tmp_path):
+    docs = spark.read.parquet(f"{PATH}/documents.parquet")
+    want = [r.doc_id for r in mixing.schedule(docs).withColumn("key", mixing._key("doc_id", "source", mixing.SEED)).orderBy("slot", "key").collect()]
+    assert len(want) > len(set(want))  # some repeat
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")  # files are split, and read in another order
+    try:
+        path, again = f"{tmp_path}/mixed", f"{tmp_path}/tokens"
+        P.mixed(spark, docs, PATH).write.option("maxRecordsPerFile", "50").parquet(path)
+        P.token_ids(spark, spark.read.parquet(path), PATH).write.parquet(again)
+        rows = spark.read.parquet(again).select("doc_id", "position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.position for r in rows}) == len(rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == want
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_edge_cases(spark, tmp_path, k):
     stage = P.STAGES[k][1]
