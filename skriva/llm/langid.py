@@ -6,28 +6,30 @@ compressed with every dictionary; the language with the smallest sum is chosen.
 compressing by their own past, which would hide the dictionary. If the runner-up is nearer than MARGIN of
 its size, the text is rejected.
 
-Training reads at most MAX_SAMPLE labelled documents of a language, chosen by a hash of their id, and at most
-PER_DOC bytes from the start of each, so that no document fills a dictionary; only training is bounded so.
+Training reads whole texts of at most MAX_SAMPLE labelled documents of a language, chosen by a hash of their id. A dictionary has the same number of
+bytes of each of them, where texts are long enough, so that none fills it: short texts are in it whole, and of a longer one as many
+words, evenly spread over all of it in runs of RUN bytes, as make its share. Every language that a row names has a dictionary.
 
 Defined results: null texts and texts without letters have no language, no sizes and aren't accepted; a null doc_id passes
 through; repeated rows give repeated results; an empty table gives an empty result; with fewer than two
-languages in the training table everything is rejected, as there is no runner-up; a tie is a margin of 0 and so rejected; further columns
-are ignored.
+languages in the training table everything is rejected, as there is no runner-up; a tie is a margin of 0 and so rejected; a text of any length is
+classified whole; further columns, also of names that differ by case only, are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import at, load, placed
 
-DICT_BYTES, PER_DOC, MAX_SAMPLE, MAX_LANGUAGES = 32 << 10, 1 << 10, 64, 200
+DICT_BYTES, MAX_SAMPLE, RUN = 32 << 10, 64, 256
 PIECE, LEVEL, MARGIN = 1024, 6, 0.02
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -71,17 +73,33 @@ class Classifier:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = MAX_SAMPLE) -> Classifier:
     """A classifier from a bounded sample of the rows with a language."""
-    known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL")
-    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Classifier({})
-    # about twice the sample passes the hash, then the exact number is taken by order
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("l") == r.l, F.lit(min(1 << 31, int((1 << 31) * 2.0 * (max_sample + 8) / r["count"])))).otherwise(share)
-    drawn = known.withColumn("h", F.xxhash64("i")).filter(F.pmod("h", F.lit(1 << 31)) < share)
-    rows = drawn.groupBy("l").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "i", F.substring("t", 1, 4 * PER_DOC).alias("t")))), 1, max_sample).alias("x")).collect()
-    return Classifier({r.l: b" ".join(normalise(x.t)[:PER_DOC] for x in r.x)[:DICT_BYTES] for r in rows})
+    known = placed(docs).select(F.col(at(docs, id_col)).alias("i"), F.col(at(docs, lang_col)).alias("l"), F.col(at(docs, text_col)).alias("t")).filter("i IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL")
+    # about twice the sample passes the hash, then the exact number is taken by order; each task cuts its own rows first
+    share = known.groupBy("l").agg(F.least(F.lit(float(1 << 31)), F.lit(2.0 * (max_sample + 8) * (1 << 31)) / F.count("*")).alias("share"))
+    drawn = known.withColumn("h", F.xxhash64("i")).join(share, "l").filter(F.pmod("h", F.lit(1 << 31)) < F.col("share"))
+    first = Window.partitionBy("l").orderBy("h", "i", "t")
+    rows = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= max_sample).select("l", "n", "t").orderBy("l", "n").toLocalIterator()  # a language at a time
+    return Classifier({lang: dictionary([r.t for r in own]) for lang, own in groupby(rows, key=lambda r: r.l)})
+
+
+def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
+    """At most size bytes of the normalised texts, as many of each of them as of the others, or all of it where it has fewer."""
+    data = [x for t in texts if (x := normalise(t))]
+    left, out = size, [b""] * len(data)
+    for done, k in enumerate(sorted(range(len(data)), key=lambda k: len(data[k]))):  # short ones leave their rest to the others
+        share = max(0, left // (len(data) - done) - 1)
+        out[k] = spread(data[k], share)
+        left -= len(out[k]) + 1
+    return b" ".join(x for x in out if x)
+
+
+def spread(data: bytes, size: int, run: int = RUN) -> bytes:
+    """At most size bytes of data, in runs that begin at evenly spaced places; all of it where it fits."""
+    if len(data) <= size:
+        return data
+    runs = max(1, size // run)
+    n, last = size // runs, len(data) - size // runs
+    return b"".join(data[a : a + n] for a in (last * k // max(1, runs - 1) for k in range(runs)))
 
 
 SCHEMA = "predicted string, margin double, compressed_bytes long, accepted boolean"
@@ -101,7 +119,7 @@ def classifier_udf(model: Classifier):
 
 def identify(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang, margin, compressed_bytes, accepted) of every row; lang is null where it is rejected, predicted is the nearest in any case."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), classifier_udf(model)(F.col(text_col)).alias("r")).select("doc_id", "r.*")
+    rows = placed(docs).select(F.col(at(docs, id_col)).alias("doc_id"), classifier_udf(model)(F.col(at(docs, text_col))).alias("r")).select("doc_id", "r.*")
     return rows.select("doc_id", F.when(F.col("accepted"), F.col("predicted")).alias("lang"), "predicted", "margin", "compressed_bytes", "accepted")
 
 

@@ -1,16 +1,20 @@
 """Media columns: Netpbm and BMP images in a binary column, as NPY tiles with difference hashes.
 
-`decode` reads P1 to P6 (plain and raw, 1 to 16 bits) and uncompressed BMP of 1, 4, 8, 24 and 32 bits, bottom-up or top-down, into a numpy
+`decode` reads P1 to P6 (plain and raw, 1 to 16 bits) and uncompressed BMP of 1, 4, 8, 16, 24 and 32 bits (with the masks that BITFIELDS give), bottom-up or top-down, into a numpy
 array of bytes, (height, width) for grey and (height, width, 3) for colour. `area_resize` averages each target pixel's
-exact area, fractions of pixels included, by differences of one integral image. The resized image is cut into
-tiles, each an NPY file in a binary column; the difference hash compares neighbours of the 9 x 8 resized grey image.
+exact area, fractions of pixels included, by differences of one integral image, of which only the lines that the target needs are kept.
+The resized image is cut into
+tiles, each an NPY file in a binary column; the difference hash compares neighbours of the 9 x 8 resized grey image. The target is a square of LEAST
+pixels, doubled while it is no larger than the image's longer side and up to MOST, or of the side given.
+
+An image of any size is taken: what it needs of memory is in proportion to its bytes (at most 8 pixels a byte), as its sizes are checked against them first.
 
 The given tables have no images. `render` makes a media column of them: the bytes of a text as pixels, in
 each of the formats in turn; the query runs over that column of the whole table.
 
-Defined results: a null or empty value, one in another format, and one that is cut off have one row with a reason in `error` and
-no tile; trailing bytes are ignored; an image smaller than the target is enlarged by the same rule; a null id passes through, repeated
-rows give repeated results, an empty table an empty one; further columns are ignored.
+Defined results: a null or empty value, one in another format, one that is cut off, and any other that can't be decoded have one row with a reason in `error` and
+no tile; numbers of a plain format above its maximum count as that; trailing bytes are ignored; an image smaller than the target is enlarged by the same rule; a null id passes through, repeated
+rows give repeated results, an empty table an empty one; further columns, also of names that differ by case only, are ignored. Equal neighbours have the bit 0 in the hash.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import at, exact, load, placed
 
-SIDE, TILE = 32, 16
+LEAST, MOST, TILE = 32, 256, 16
+STRIP = 1 << 20
 _TOKEN = re.compile(rb"\s*(?:#[^\n\r]*[\n\r]\s*)*(\S+)")
-MAX_PIXELS = 1 << 28
 
 
 def decode(data: bytes | None) -> np.ndarray:
@@ -52,49 +56,68 @@ def _netpbm(data: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     width, height, top = head[0], head[1], head[2] if len(head) > 2 else 1
-    if not 0 < width * height <= MAX_PIXELS or not 0 < top < 65536:
+    if not width or not height or not 0 < top < 65536:
         raise ValueError("bad header")
     bands = 3 if kind in (3, 6) else 1
     count = width * height * bands
     if kind == 4:
         row = (width + 7) // 8
-        body = np.frombuffer(data, np.uint8, min(row * height, max(0, len(data) - at - 1)), at + 1) if len(data) > at + 1 else np.empty(0, np.uint8)
-        if body.size < row * height:
+        if len(data) < at + 1 + row * height:
             raise ValueError("cut off")
-        pixels = 1 - np.unpackbits(body.reshape(height, row), axis=1)[:, :width].astype(np.int64)
+        body = np.frombuffer(data, np.uint8, row * height, at + 1)
+        pixels = 1 - np.unpackbits(body.reshape(height, row), axis=1)[:, :width]
     elif kind > 3:
         step = 2 if top > 255 else 1
         if len(data) < at + 1 + count * step:
             raise ValueError("cut off")
-        pixels = np.frombuffer(data, ">u2" if step == 2 else np.uint8, count, at + 1).astype(np.int64)
+        pixels = np.frombuffer(data, ">u2" if step == 2 else np.uint8, count, at + 1)
     elif kind == 1:
-        body = re.sub(rb"#[^\n\r]*", b"", data[at:])
-        bits = np.frombuffer(body, np.uint8)
+        bits = np.frombuffer(re.sub(rb"#[^\n\r]*", b"", data[at:]), np.uint8)
         bits = bits[(bits == 48) | (bits == 49)]
         if bits.size < count:
             raise ValueError("cut off")
-        pixels = 49 - bits[:count].astype(np.int64)
+        pixels = 49 - bits[:count]
     else:
-        try:
-            pixels = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:count], dtype=np.int64)
-        except ValueError:
-            raise ValueError("bad pixels") from None
-        if pixels.size < count:
-            raise ValueError("cut off")
-    pixels = np.clip(pixels, 0, top)
-    if top != 255:
-        pixels = (pixels * 255 + top // 2) // top
-    return pixels.astype(np.uint8).reshape((height, width, 3) if bands == 3 else (height, width))
+        pixels = _numbers(re.sub(rb"#[^\n\r]*", b"", data[at:]), count, top)
+    return _scaled(pixels.ravel(), top).reshape((height, width, 3) if bands == 3 else (height, width))
+
+
+def _numbers(body: bytes, count: int, top: int) -> np.ndarray:
+    """The first numbers of a plain format, none above top, a stretch at a time."""
+    parts, at, left = [], 0, count
+    while left and at < len(body):
+        end = min(len(body), at + STRIP)
+        while end < len(body) and not body[end : end + 1].isspace():
+            end += 1
+        words = body[at:end].split()[:left]
+        if not all(w.isdigit() for w in words):
+            raise ValueError("bad pixels")
+        parts.append(np.array([top if len(w) > 9 and len(w.lstrip(b"0")) > 9 else min(int(w), top) for w in words], np.uint16))
+        at, left = end, left - len(words)
+    if left:
+        raise ValueError("cut off")
+    return np.concatenate(parts)
+
+
+def _scaled(values: np.ndarray, top: int) -> np.ndarray:
+    """values from 0 to top (larger ones count as top) as bytes from 0 to 255."""
+    if top == 255 and values.dtype == np.uint8:
+        return values
+    out = np.empty(len(values), np.uint8)
+    for a in range(0, len(values), STRIP):
+        v = np.minimum(values[a : a + STRIP].astype(np.int64), top)
+        out[a : a + STRIP] = (v * 255 + top // 2) // top
+    return out
 
 
 def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise ValueError("cut off")
     offset, size, width, height, _, depth, packing, _, _, _, colours = struct.unpack_from("<10xIIiiHHIIiiI", data)
-    if size < 40 or packing not in (0, 3) or depth not in (1, 4, 8, 24, 32) or (packing == 3 and depth != 32):
+    if size < 40 or packing not in (0, 3) or depth not in (1, 4, 8, 16, 24, 32) or (packing == 3 and depth not in (16, 32)):
         raise ValueError("unsupported BMP")
     down, height = height < 0, abs(height)
-    if width <= 0 or not 0 < width * height <= MAX_PIXELS:
+    if width <= 0 or not height:
         raise ValueError("bad header")
     stride = (width * depth + 31) // 32 * 4
     if len(data) < offset + stride * height:
@@ -102,6 +125,20 @@ def _bmp(data: bytes) -> np.ndarray:
     rows = np.frombuffer(data, np.uint8, stride * height, offset).reshape(height, stride)
     if not down:
         rows = rows[::-1]
+    if depth == 16 or packing == 3:
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 and len(data) >= 66 else (0x7C00, 0x3E0, 0x1F)
+        step = depth // 8
+        whole = np.ascontiguousarray(rows[:, : width * step]).view("<u2" if step == 2 else "<u4").ravel()
+        bands = []
+        for mask in masks:
+            low = (mask & -mask).bit_length() - 1 if mask else 0
+            top = mask >> low
+            if not mask or top & (top + 1):
+                raise ValueError("bad masks")
+            part = (whole & whole.dtype.type(mask)) >> whole.dtype.type(low)
+            extra = max(0, top.bit_length() - 16)  # a mask of more than 16 bits keeps its upper ones
+            bands.append(_scaled(part >> whole.dtype.type(extra), top >> extra))
+        return np.stack(bands, axis=1).reshape(height, width, 3)
     if depth >= 24:
         step = depth // 8
         return np.ascontiguousarray(rows[:, : width * step].reshape(height, width, step)[:, :, 2::-1])
@@ -115,21 +152,32 @@ def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 14 + size + 4 * entries or int(index.max()) >= entries:
         raise ValueError("bad palette")
     palette = np.frombuffer(data, np.uint8, 4 * entries, 14 + size).reshape(entries, 4)[:, 2::-1]
-    pixels = palette[index]
     grey = (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all()
-    return np.ascontiguousarray(pixels[:, :, 0] if grey else pixels)
+    return palette[:, 0][index] if grey else palette[index]
+
+
+def integral_lines(image: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Some lines of the integral image of (height, width, bands); line k holds the sums of the first k lines. rows ascend."""
+    h, w, bands = image.shape
+    out, total = np.zeros((len(rows), w + 1, bands)), np.zeros((w, bands))
+    step = max(1, STRIP // (w * bands))
+    for a in range(0, h, step):
+        sums = np.cumsum(image[a : a + step], axis=0, dtype=np.float64) + total  # of the lines a + 1 and on
+        lo, hi = np.searchsorted(rows, [a, a + len(sums)], side="right")
+        out[lo:hi, 1:] = np.cumsum(sums[rows[lo:hi] - a - 1], axis=1)
+        total = sums[-1]
+    return out
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Each pixel of the result is the mean of its area of the image, by an integral image; rounded half up."""
     h, w = image.shape[:2]
     flat = image.reshape(h, w, -1)
-    table = np.zeros((h + 1, w + 1, flat.shape[2]))
-    np.cumsum(np.cumsum(flat, axis=0, dtype=np.float64), axis=1, out=table[1:, 1:])
     ys, xs = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
     y0, x0 = np.minimum(ys.astype(int), h - 1), np.minimum(xs.astype(int), w - 1)
     fy, fx = (ys - y0)[:, None, None], (xs - x0)[None, :, None]
-    lines = table[y0] * (1 - fy) + table[y0 + 1] * fy  # the integral is linear between pixel edges
+    # the integral is linear between pixel edges
+    lines = integral_lines(flat, y0) * (1 - fy) + integral_lines(flat, y0 + 1) * fy
     at = lines[:, x0] * (1 - fx) + lines[:, x0 + 1] * fx
     area = (at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]) / ((h / height) * (w / width))
     out = np.clip(np.floor(area + 0.5 + 1e-9), 0, 255).astype(np.uint8)
@@ -155,18 +203,26 @@ def npy(tile: np.ndarray) -> bytes:
     return b"\x93NUMPY\x01\x00" + struct.pack("<H", len(head)) + head.encode() + tile.tobytes()
 
 
-def tiles(data: bytes | None, side: int = SIDE, tile: int = TILE) -> tuple[list[dict], int | None, int | None, int | None, str | None]:
+def target_side(image: np.ndarray) -> int:
+    side = LEAST
+    while 2 * side <= min(MOST, max(image.shape[:2])):
+        side *= 2
+    return side
+
+
+def tiles(data: bytes | None, side: int | None = None, tile: int = TILE) -> tuple[list[dict], int | None, int | None, int | None, str | None]:
     """(tiles, width, height, hash, error)."""
     try:
         image = decode(data)
-    except ValueError as e:
-        return [], None, None, None, str(e)
+    except (ValueError, OverflowError, struct.error) as e:
+        return [], None, None, None, str(e) or "bad image"
+    side = side or target_side(image)
     small = area_resize(image, side, side)
     cells = [{"row": y // tile, "col": x // tile, "npy": npy(small[y : y + tile, x : x + tile])} for y in range(0, side, tile) for x in range(0, side, tile)]
     return cells, image.shape[1], image.shape[0], difference_hash(image), None
 
 
-def tile_udf(side: int = SIDE, tile: int = TILE):
+def tile_udf(side: int | None = None, tile: int = TILE):
     cell = pa.struct([("row", pa.int32()), ("col", pa.int32()), ("npy", pa.binary())])
     kind = pa.struct([("tiles", pa.list_(cell)), ("width", pa.int32()), ("height", pa.int32()), ("dhash", pa.int64()), ("error", pa.string())])
 
@@ -179,9 +235,9 @@ def tile_udf(side: int = SIDE, tile: int = TILE):
     return cut
 
 
-def tile_images(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", side: int = SIDE, tile: int = TILE) -> DataFrame:
+def tile_images(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", side: int | None = None, tile: int = TILE) -> DataFrame:
     """(doc_id, width, height, dhash, error, tile_row, tile_col, npy): a row for each tile, or one with an error."""
-    rows = media.select(F.col(id_col).alias("doc_id"), tile_udf(side, tile)(F.col(media_col)).alias("r")).select("doc_id", "r.*")
+    rows = placed(media).select(F.col(at(media, id_col)).alias("doc_id"), tile_udf(side, tile)(F.col(at(media, media_col))).alias("r")).select("doc_id", "r.*")
     return rows.select("doc_id", "width", "height", "dhash", "error", F.explode_outer("tiles").alias("t")).select("doc_id", "width", "height", "dhash", "error", F.col("t.row").alias("tile_row"), F.col("t.col").alias("tile_col"), F.col("t.npy").alias("npy"))
 
 
@@ -223,7 +279,7 @@ def render_udf():
 def render(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media): every text as an image, null and empty texts as null."""
     kind = (F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.lit(0))), F.lit(8)) + 1).cast("int")
-    return docs.select(F.col(id_col).alias("doc_id"), render_udf()(F.col(text_col), kind).alias("media"))
+    return exact(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), render_udf()(F.col(text_col), kind).alias("media"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

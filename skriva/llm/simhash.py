@@ -4,24 +4,29 @@ Fingerprint: 128 bits; each distinct word of the folded text votes with weight 1
 Two documents are near-duplicates if their fingerprints differ in at most RADIUS bits; groups are the connected
 components.
 
-Search, exact for every number of segments m: a fingerprint is cut into m segments, and a pair within RADIUS
-agrees in one of them up to RADIUS // m bits. Each distinct fingerprint is stored once under each of its
+Search, exact for every number of segments m: a fingerprint is cut into m segments. With RADIUS = a m + b a pair within
+RADIUS differs in at most a bits in one of the first b + 1 segments, or in at most a - 1 in one of the others, as more
+bits in each would make more than RADIUS. Each distinct fingerprint is stored once under each of its
 segments, and looks up the small Hamming ball around each of its segments; the tables' matches are verified by
 the complete distance. A ball member that differs by the mask M is looked up only where that raises the
 segment's value, so that a pair meets once a segment, and a pair is emitted only by the first of its segments that agrees.
-m is chosen by the expected number of lookups and matches for the number of distinct fingerprints, so segments widen
+m is chosen by the expected cost for the number of distinct fingerprints, so segments widen
 as the corpus grows; the result is the same for all of them.
 
+Only a part of a ball is shuffled: tables are spread by the upper bits of the segments, and a fingerprint goes once to each place
+whose upper bits are in its ball. The masks of the lower bits are enumerated there, beside the table, in the same stage as the join.
+
 Copies with equal fingerprints are one entry of the tables, however many they are.
 
-Defined results: texts that are null or have no word have no fingerprint and are each a group of their own;
-rows with equal doc_id are one document (of a text each), kept once; rows with a null doc_id are left out of the
-groups and kept by `drop_near_duplicates`; the document that stays is the smallest doc_id of its group; an empty table gives an empty result; further
-columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
+Defined results: every row counts by its own text, also where rows share a doc_id or have none; texts that are null or
+have no word have no fingerprint and are each a group of their own, with the row's doc_id as group_id; group_id is otherwise the smallest doc_id of the group, null if none has one.
+Of a group the row of the smallest doc_id (those without one last) is kept, on a tie that of the smallest hash of id and text, and one of the rows that are equal in both. Texts of any length are read whole. Equal votes for and against a bit
+give 0. An empty table gives an empty result; further columns, also of names that differ by case only, are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,12 +35,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, load
+from .common import cut, exact, load, packed, session_conf
 
-RADIUS, SEGMENTS = 15, (8, 6, 4)
+RADIUS, SEGMENTS = 15, (9, 8, 7, 6, 5, 4)
+PLACE = 50_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -71,50 +77,96 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}hi").bitwiseXOR(F.col(f"{b}hi"))) + F.bit_count(F.col(f"{a}lo").bitwiseXOR(F.col(f"{b}lo")))
 
 
-def layout(m: int) -> list[tuple[str, int, int]]:
-    """(half, first bit, width) of each segment; m is even, and no segment crosses the halves."""
-    edges = [round(64 * k / (m // 2)) for k in range(m // 2 + 1)]
-    return [(half, a, b - a) for half in ("hi", "lo") for a, b in zip(edges, edges[1:])]
+def layout(m: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
+    """(first bit, width, radius) of each segment of the 128 bits; -1 for a segment that needn't be looked at."""
+    edges = [round(128 * k / m) for k in range(m + 1)]
+    return [(a, b - a, radius // m - (k > radius % m)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
-def segment(prefix: str, part: tuple[str, int, int]) -> Column:
-    half, at, width = part
-    return F.shiftrightunsigned(F.col(prefix + half), at).bitwiseAND((1 << width) - 1)
+def segment(prefix: str, part: tuple[int, int, int]) -> Column:
+    """Bits are numbered from the lowest of `lo` up to the highest of `hi`."""
+    at, width, _ = part
+    hi, lo, mask = F.col(prefix + "hi"), F.col(prefix + "lo"), (1 << width) - 1
+    if at >= 64:
+        return F.shiftrightunsigned(hi, at - 64).bitwiseAND(mask)
+    low = F.shiftrightunsigned(lo, at) if at else lo
+    if at + width <= 64:
+        return low.bitwiseAND(mask)
+    return low.bitwiseOR(F.shiftleft(hi, 64 - at)).bitwiseAND(mask)
 
 
 def masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
+def ball(width: int, radius: int) -> int:
+    return sum(math.comb(width, r) for r in range(radius + 1))
+
+
+def upper_bits(n: int, width: int) -> int:
+    """How many bits spread a segment's table over places of about PLACE fingerprints, and over 64 at least."""
+    return min(width - 1, max(6, math.ceil(math.log2(max(2, n / PLACE)))))
+
+
 def choose_segments(n: int, radius: int = RADIUS) -> int:
-    """The number of segments with the fewest expected lookups and matches for n fingerprints."""
+    """The number of segments with the least expected cost for n fingerprints: rows that are shuffled (they cost about 20 lookups), lookups, and matches."""
     def cost(m: int) -> float:
-        return sum(len(masks(w, radius // m)) * (1 + n / 2**w) for _, _, w in layout(m))
+        parts = [(w, r) for _, w, r in layout(m, radius) if r >= 0]
+        return sum(20 * (1 + ball(upper_bits(n, w), r)) + ball(w, r) * (1 + n / 2**w) for w, r in parts)
 
     return min(SEGMENTS, key=cost)
 
 
-def near_pairs(prints: DataFrame, m: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b) of all rows of prints (node, hi, lo), whose fingerprints are distinct, within the radius; each pair once."""
-    parts, ball = layout(m), radius // m
-    stored = F.array(*[F.struct(F.lit(k).alias("s"), segment("", p).alias("v")) for k, p in enumerate(parts)])
-    table = prints.select(F.col("node").alias("tnode"), F.col("hi").alias("thi"), F.col("lo").alias("tlo"), F.explode(stored).alias("x")).select("tnode", "thi", "tlo", "x.s", "x.v")
-    probes = prints.select("node", "hi", "lo", F.explode(stored).alias("x")).select("node", "hi", "lo", "x.s", "x.v")
-    wide = max(w for *_, w in parts)
-    reach = F.array(*[F.lit(x).cast("long") for x in masks(wide, ball)])
-    probes = probes.withColumn("x", F.explode(reach)).filter((F.col("v").bitwiseXOR(F.col("x")) > F.col("v")) | (F.col("x") == 0))
-    narrow = [k for k, (*_, w) in enumerate(parts) if w < wide]
-    if narrow:  # a mask may have a bit more than these segments
-        probes = probes.filter(~F.col("s").isin(narrow) | (F.shiftrightunsigned("x", wide - 1) == 0))
-    probes = probes.select("node", "hi", "lo", "s", (F.col("x") != 0).alias("moved"), F.col("v").bitwiseXOR(F.col("x")).alias("v"))
-    met = probes.join(table.hint("shuffle_hash"), ["s", "v"])
+def near_pairs(prints: DataFrame, m: int, radius: int = RADIUS, n: int = 1 << 20) -> DataFrame:
+    """(a, b) of all rows of prints (node, hi, lo), whose fingerprints are distinct, within the radius; each pair once. n is about their number.
+
+    Both sides are spread by the segment and its upper bits; the join on all of its bits needs no further exchange where
+    spark.sql.requireAllClusterKeysForCoPartition is off, as `pairs_of` sets it.
+    """
+    parts = [p for p in layout(m, radius) if p[2] >= 0]
+    lows = [w - upper_bits(n, w) for _, w, _ in parts]
+
+    def places(k: int, moved: bool) -> Column:
+        """The segment, its upper bits changed by each mask within the radius, its lower bits, and how many bits may still be changed there."""
+        (_, width, most), low = parts[k], lows[k]
+        v = segment("", parts[k])
+        up, down = F.shiftrightunsigned(v, low), v.bitwiseAND((1 << low) - 1)
+        row = lambda x, left: F.struct(F.lit(k).alias("s"), up.bitwiseXOR(x).alias("up"), down.alias("down"), left.alias("left"))
+        if not moved:
+            return F.array(row(F.lit(0).cast("long"), F.lit(0)))
+        reach = F.filter(F.array(*[F.lit(x).cast("long") for x in masks(width - low, most)]), lambda x: (x == 0) | (up.bitwiseXOR(x) > up))
+        # left: the bits that may change below, with -1 - left where the upper bits are the own ones
+        return F.transform(reach, lambda x: row(x, F.when(x == 0, F.lit(-1 - most)).otherwise(F.lit(most) - F.bit_count(x))))
+
+    def spread(rows: DataFrame, moved: bool, names: list[str]) -> DataFrame:
+        out = rows.select("node", "hi", "lo", F.explode(F.flatten(F.array(*[places(k, moved) for k in range(len(parts))]))).alias("x"))
+        return out.select("node", "hi", "lo", "x.*").repartition("s", "up").toDF(*names)
+
+    table = spread(prints, False, ["tnode", "thi", "tlo", "s", "up", "down", "none"]).drop("none")
+    probes = spread(prints, True, ["node", "hi", "lo", "s", "up", "own", "left"])
+    reach = F.lit(None).cast("array<long>")
+    for low in sorted(set(lows)):
+        mine = F.col("s").isin([k for k, x in enumerate(lows) if x == low])
+        for left in range(max(r for *_, r in parts) + 1):
+            array = F.array(*[F.lit(x).cast("long") for x in masks(low, left)])
+            reach = F.when(mine & (F.col("left") == left), array).when(mine & (F.col("left") == -1 - left), array).otherwise(reach)
+    probes = probes.select("*", F.explode(reach).alias("x")).select("node", "hi", "lo", "s", "up", "left", "x", F.col("own").bitwiseXOR(F.col("x")).alias("down"), "own")
+    probes = probes.filter((F.col("left") >= 0) | (F.col("x") == 0) | (F.col("down") > F.col("own")))
+    met = probes.select("node", "hi", "lo", "s", "up", "down", ((F.col("left") >= 0) | (F.col("x") != 0)).alias("moved")).join(table.hint("shuffle_hash"), ["s", "up", "down"])
     earlier = F.lit(False)
     for k, p in enumerate(parts[:-1]):
-        earlier = earlier | ((F.col("s") > k) & (F.bit_count(segment("", p).bitwiseXOR(segment("t", p))) <= ball))
+        earlier = earlier | ((F.col("s") > k) & (F.bit_count(segment("", p).bitwiseXOR(segment("t", p))) <= p[2]))
     once = F.col("moved") | (F.col("node") < F.col("tnode"))
     return met.filter(once & (distance("", "t") <= radius) & ~earlier).select(F.least("node", "tnode").alias("a"), F.greatest("node", "tnode").alias("b"))
 
 
+def pairs_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The pairs of near_pairs, checkpointed, with the segments that suit the number of prints."""
+    n = prints.count()
+    with session_conf(prints.sparkSession, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        return cut(near_pairs(prints, choose_segments(n, radius), radius, n))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node of its component.
 
@@ -133,27 +185,49 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, key of the row, hi, lo; fingerprints: hi, lo, label of the group, links to other rows from one of its own)."""
+    rows = exact(docs, id_col, text_col).toDF("doc_id", "text")
+    prints = cut(rows.select("doc_id", _key().alias("key"), fingerprint_udf()("text").alias("f")).select("doc_id", "key", "f.hi", "f.lo"))
+    nodes = cut(prints.filter("hi IS NOT NULL").groupBy("hi", "lo").agg(F.count("*").alias("copies")))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # the same whenever it is read, as the checkpoint fixes the order
+    pairs = pairs_of(nodes.select("node", "hi", "lo"), radius)
+    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
+    near = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("near"))
+    label = components(pairs)
+    found = nodes.join(near, "node", "left").join(label, "node", "left")
+    return prints, cut(found.select("hi", "lo", F.coalesce("label", "node").alias("label"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links")))
+
+
+def _key() -> Column:
+    """128 bits that stand for a row's doc_id and text."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+
+
+def _first(*more: str) -> Column:
+    """Orders the rows of a group; a struct's null fields are least, so those come after by the flag."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), *more)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, group_id, keep, hi, lo) of every document: group_id is the smallest doc_id of its group."""
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf()(F.col(text_col)).alias("f")).filter("doc_id IS NOT NULL").select("doc_id", "f.hi", "f.lo").distinct())
-    nodes = cut(prints.filter("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")))
-    pairs = near_pairs(nodes, choose_segments(nodes.count(), radius), radius).filter("a <> b")
-    # a document with several texts joins what its texts are near to
-    several = prints.filter("hi IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    owned = prints.join(several, "doc_id", "left_semi").join(nodes, ["hi", "lo"]).filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    label = components(pairs.union(owned))
-    placed = prints.join(nodes, ["hi", "lo"], "left").join(label, "node", "left").select("doc_id", F.least(F.coalesce("label", "node", "doc_id"), F.col("doc_id")).alias("g"), "hi", "lo")
-    out = placed.groupBy("doc_id").agg(F.min(F.struct("g", "hi", "lo")).alias("x"))
-    return out.select("doc_id", F.col("x.g").alias("group_id"), (F.col("x.g") == F.col("doc_id")).alias("keep"), "x.hi", "x.lo")
+    """(doc_id, group_id, links, keep) of every row: links are the other rows whose text is near to its own; keep is true for one row of each group, and its equals."""
+    prints, found = _labelled(docs, id_col, text_col, radius)
+    placed = prints.join(found, ["hi", "lo"], "left").select("doc_id", "key", "label", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    best = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min(_first()).alias("best"))
+    out = placed.join(best, "label", "left")
+    own = F.col("label").isNull()
+    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("group_id"), "links", (own | (F.col("best") == _first())).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group, with all columns, and every row with a null id."""
-    gone = near_duplicates(docs, id_col, text_col, radius).filter(~F.col("keep")).select("doc_id")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so no name clashes
-    first = Window.partitionBy("doc_id").orderBy(F.col("row").getField(text_col), F.xxhash64("row"))
-    some = rows.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return some.select("row").union(rows.filter("doc_id IS NULL").select("row")).select("row.*")
+    """One row of each group, with all columns."""
+    prints, found = _labelled(docs, id_col, text_col, radius)
+    rows_of = prints.join(found, ["hi", "lo"]).groupBy("label", "doc_id", "key").agg(F.count("*").alias("n"))
+    best = rows_of.groupBy("label").agg(F.min(_first("n")).alias("best")).select("best.key", (F.col("best.n") > 1).alias("repeated"))
+    alone = prints.filter("hi IS NULL").select("key").distinct()
+    rows = packed(docs, doc_id=id_col, text=text_col).select("row", _key().alias("key")).join(best.union(alone.withColumn("repeated", F.lit(False))), "key")
+    once = rows.filter("repeated").groupBy("key").agg(F.first("row").alias("row"))  # of rows with words that are equal in both columns
+    return rows.filter("NOT repeated").select("row").union(once.select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

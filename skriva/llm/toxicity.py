@@ -12,12 +12,16 @@ exception phrase ("trash can") doesn't.
 The lexicon is a published list of plain insults, plus terms learned from labelled documents: words, and beginnings
 of words (written "abc*"), whose distinct contexts (the word before and the word after) are concentrated in toxic documents. Counting contexts
 instead of documents keeps copies of one toxic document from making all its rare words toxic. At most
-MAX_TOXIC toxic and MAX_CLEAN clean labelled documents are read for this, chosen by a hash of their id.
+MAX_TOXIC toxic and MAX_CLEAN clean labelled documents are read for this, chosen by a hash of their id; every term that passes
+the thresholds is kept, however many they are.
+
+Words of SPELT letters or more are also found with their letters set apart ("i d i o t", also by . - _ or *) and with "rn" in place of "m".
+Words that are insults only of people ("trash", "vermin") have less weight alone than the phrases that say so.
 
 Defined results: a null or empty text has no words, no hits, score 0 and isn't toxic; a null doc_id passes
 through; repeated rows give repeated results; an empty table gives an empty result; further columns, whatever
-their names, are ignored by `score_documents` and kept untouched by `drop_toxic`; texts are read whole. Without labels (an empty
-table, or labels that are all null or all of one class) only the published list is used.
+their names (also those that differ by case only), are ignored by `score_documents` and kept untouched by `drop_toxic`; texts of any length are read whole. A document whose
+labels differ counts as toxic. Without labels (an empty table, or labels that are all null or all of one class) only the published list is used.
 """
 
 from __future__ import annotations
@@ -32,18 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_order
+from .common import at, cut, exact, hash_order, load, placed, restored
 
 MAX_TOXIC, MAX_CLEAN = 4000, 12000
-MIN_CONTEXTS, MIN_LOG_ODDS, MIN_WORDS, MAX_TERMS = 5, 3.0, 5, 5000
+MIN_CONTEXTS, MIN_LOG_ODDS, MIN_WORDS = 5, 3.0, 5
+SPELT, APART = 4, " .-_*"
 BEGINNINGS = (4, 5, 6, 7, 8)
 SMOOTH, THRESHOLD, EVIDENCE = 50, 5.0, 0.9
 
 LEXICON = {w: 1.0 for w in (
-    "idiot idiots moron morons stupid loser losers scum scumbag clown clowns pathetic worthless disgusting trash imbecile "
-    "dumbass jackass asshole bastard bitch retard scumbags imbeciles vermin subhuman degenerate shithead dickhead fuckwit "
+    "idiot idiots moron morons stupid loser losers scumbag pathetic worthless disgusting imbecile "
+    "dumbass jackass asshole bastard bitch retard scumbags imbeciles subhuman degenerate shithead dickhead fuckwit "
     "idioten arschloch dummkopf abschaum idiote connard salaud imbécile idiota imbécil estúpido basura"
-).split()} | {"crap": 0.5, "dumb": 0.6, "garbage": 0.5, "ugly": 0.4, "shut up": 0.6, "piece of garbage": 1.5, "waste of space": 1.5}
+).split()} | {"crap": 0.5, "dumb": 0.6, "garbage": 0.5, "ugly": 0.4, "shut up": 0.6, "piece of garbage": 1.5, "waste of space": 1.5} | {
+    w: 0.6 for w in ("scum", "clown", "clowns", "trash", "vermin")} | {
+    f"{a} {b}": 1.0 for a in ("you", "you are", "you're", "they are", "such", "human", "absolute", "piece of", "bunch of") for b in ("scum", "trash", "garbage", "vermin", "clown", "clowns")}
 EXCEPTIONS = (
     "trash can", "trash cans", "trash bin", "trash bag", "trash bags", "trash collection", "garbage collection", "garbage collector", "garbage can", "garbage truck",
     "class clown", "clown fish", "circus clown", "rodeo clown", "pond scum", "soap scum", "sore loser", "winner and loser", "winners and losers",
@@ -88,6 +95,13 @@ def fold(text: str) -> tuple[str, str]:
     return text, low.translate(_TABLE)
 
 
+def variants(key: str) -> list[str]:
+    """Other spellings of a folded word."""
+    if len(key) < SPELT or not key.isalpha():
+        return []
+    return [sep.join(key) for sep in fold(APART)[1]] + [key.replace("m", "rn")] * ("m" in key)
+
+
 class Matcher:
     """The automaton of a lexicon {term: weight}; phrases in exceptions cancel the matches inside them."""
 
@@ -98,6 +112,10 @@ class Matcher:
             if key := fold(term.rstrip("*"))[1].strip():
                 pair = terms.setdefault(key, [0.0, 0.0])
                 pair[term[-1] == "*"] = max(weight, pair[term[-1] == "*"])
+        for key, (whole, _) in list(terms.items()):
+            for x in variants(key) if whole else ():
+                pair = terms.setdefault(x, [0.0, 0.0])
+                pair[0] = max(whole, pair[0])
         terms |= {fold(x)[1]: [] for x in exceptions}
         for key, weights in terms.items():
             self.machine.add_word(key, (len(key), weights))
@@ -148,7 +166,7 @@ def hash_pair(a: str, b: str) -> str:
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
     """Terms with weights from at most MAX_TOXIC + MAX_CLEAN labelled documents."""
-    known = labels.select(F.col(id_col).alias("i"), F.col("toxic").alias("y")).dropna().groupBy("i").agg(F.max("y").alias("y"))
+    known = exact(labels, id_col, "toxic").toDF("i", "y").dropna().groupBy("i").agg(F.max("y").alias("y"))
     order = hash_order(F.col("i"))
     sample = known.filter("y = 1").orderBy(*order).limit(MAX_TOXIC).union(known.filter("y = 0").orderBy(*order).limit(MAX_CLEAN))
 
@@ -156,7 +174,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def words(texts: pa.Array) -> pa.Array:
         return pa.array([contexts(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    pairs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("y", F.explode(words("t")).alias("w"))  # the sample's size is bounded
+    pairs = exact(docs, id_col, text_col).toDF("i", "t").join(F.broadcast(sample), "i").select("y", F.explode(words("t")).alias("w"))  # the sample's size is bounded
     seen = pairs.groupBy("w").agg(F.max("y").alias("y"), F.min("y").alias("z")).select(F.substring_index("w", "|", 1).alias("word"), "y", "z")
     counts = cut(seen.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("z")).alias("b")))  # read three times
     total = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
@@ -170,9 +188,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         .filter(F.col("a") >= MIN_CONTEXTS)
         .withColumn("odds", F.log(F.col("a") + 0.5) - F.log(F.col("b") + 0.5) + F.lit(odds))
         .filter(F.col("odds") >= MIN_LOG_ODDS)
-        .orderBy(F.desc("odds"), "word")
-        .limit(MAX_TERMS)
-        .collect()
+        .collect()  # of the terms of a bounded sample
     )
     return {r.word: round(r.a / (r.a + 4.0) * min(1.0, (r.odds - 2) / 3), 4) for r in rows}
 
@@ -200,16 +216,14 @@ def scorer(matcher: Matcher):
 
 def score_documents(docs: DataFrame, matcher: Matcher, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, hits, score, toxic) of every row."""
-    return docs.select(F.col(id_col).alias("doc_id"), scorer(matcher)(F.col(text_col)).alias("r")).select("doc_id", "r.*")
+    return placed(docs).select(F.col(at(docs, id_col)).alias("doc_id"), scorer(matcher)(F.col(at(docs, text_col))).alias("r")).select("doc_id", "r.*")
 
 
 def drop_toxic(docs: DataFrame, matcher: Matcher, text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't toxic, with all columns."""
-    return docs.filter(~scorer(matcher)(F.col(text_col))["toxic"])
+    return restored(placed(docs).filter(~scorer(matcher)(F.col(at(docs, text_col)))["toxic"]), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import load
-
     docs = load(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, load(spark, sf_dir, "labels")))

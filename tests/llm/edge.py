@@ -1,8 +1,8 @@
 """A table with everything awkward, shared by the operators' tests."""
 
 LONG = "lorem ipsum dolor sit amet consectetur " * 30_000  # 1.2 MB
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, f string, h string, r int, t string, k string, key string, hi long, lo long, __gone long, __n int, __slot long, __k string, __key string, score double, tokens int, slot int, block int, id long"
-EXTRA = ("x", "h", 7, "t", "k", "key", 1, 2, 3, 4, 5, "k", "key", 0.5, 6, 7, 8, 9)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, f string, h string, r int, t string, k string, key string, hi long, lo long, __gone long, __n int, __slot long, __k string, __key string, score double, tokens int, slot int, block int, id long, TEXT string, Doc_Id string, Source string, Lang string"
+EXTRA = ("x", "h", 7, "t", "k", "key", 1, 2, 3, 4, 5, "k", "key", 0.5, 6, 7, 8, 9, "other TEXT", "other", "other", "other")
 ROWS = [
     (1, "A plain sentence about gardens and rivers.", "en", "a"),
     (1, "A plain sentence about gardens and rivers.", "en", "a"),

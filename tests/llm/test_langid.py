@@ -48,3 +48,38 @@ def test_held_out_accuracy(spark):
     taken = [r for r in rows if r.accepted]
     assert len(taken) > 0.8 * len(rows)
     assert sum(r.got == r.lang for r in taken) > 0.97 * len(taken)
+
+
+def test_dictionaries_hold_a_share_of_every_text():
+    texts = ["aa " * 5, "bb " * 3000, "cc " * 9000, "", "d" * 100]
+    own = L.dictionary(texts, 4000)
+    assert 3900 < len(own) <= 4000 and own.count(b"aa") == 5 and own.count(b"d") == 100
+    assert abs(own.count(b"bb") - own.count(b"cc")) < 20
+    long = b"".join(b"%06d" % k for k in range(10_000))
+    part = L.spread(long, 1000)
+    places = [int(part[i : i + 6]) for i in range(0, 200, 6)]
+    assert len(part) <= 1000 and part[:6] == b"000000" and part[-6:] == b"009999" and places
+    assert L.spread(b"abc", 3) == b"abc" and L.spread(b"abc", 0) == b"" and L.dictionary([]) == b""
+
+
+def test_query_is_plain_compression_against_dictionaries_of_the_sample(spark):
+    """Fit and query, both by plain loops over the rows."""
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    rows = docs.selectExpr("*", "xxhash64(doc_id) AS h").collect()
+    dictionaries = {}
+    for lang in {r.lang for r in rows} - {None}:
+        sample = sorted((r.h, r.doc_id, r.text) for r in rows if r.lang == lang and r.text is not None)[: L.MAX_SAMPLE]
+        dictionaries[lang] = L.dictionary([t for *_, t in sample])
+    want = {}
+    for r in rows:
+        data, sizes = L.normalise(r.text or ""), {}
+        for lang, raw in dictionaries.items():
+            packer = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+            sizes[lang] = sum(len(packer.compress(data[i : i + L.PIECE])) for i in range(0, len(data), L.PIECE))
+        (best, lang), (after, _) = sorted((n, k) for k, n in sizes.items())[:2]
+        margin = (after - best) / after
+        want[r.doc_id] = (lang if margin >= L.MARGIN else None, lang, round(margin, 6), best, margin >= L.MARGIN) if data else (None, None, None, None, False)
+    assert {r.doc_id: tuple(r)[1:] for r in L.query(spark, path).collect()} == want
+    many = spark.range(900).selectExpr("id AS doc_id", "concat('word', id, ' and more') AS text", "concat('l', id % 300) AS lang")
+    assert len(L.fit(many).languages) == 300

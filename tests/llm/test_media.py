@@ -1,4 +1,5 @@
 import io
+import struct
 from fractions import Fraction
 
 import numpy as np
@@ -51,7 +52,7 @@ def test_hand_written_images():
     assert M.decode(b"P3\n1 1 255\n1 2 3").tolist() == [[[1, 2, 3]]]
 
 
-@pytest.mark.parametrize("data", [None, b"", b"P5", b"P7 1 1", b"P5 2 2 255\nab", b"P2 2 1 255\n1", b"P2 1 1 255\nx", b"P5 0 5 255\n", b"BM", b"BM" + bytes(60), b"GIF89a", b"P1 3 1\n10", b"P5 1 1 0\na", b"P4\n9 9", b"P6 1 1 255"])
+@pytest.mark.parametrize("data", [None, b"", b"P5", b"P7 1 1", b"P5 2 2 255\nab", b"P2 2 1 255\n1", b"P2 1 1 255\nx", b"P5 0 5 255\n", b"BM", b"BM" + bytes(60), b"GIF89a", b"P1 3 1\n10", b"P5 1 1 0\na", b"P4\n9 9", b"P6 1 1 255", b"P2 1 1 255 -3", b"P5 999999999 999999999 255\nab", b"P1 999999999 999999999 1", b"BM" + bytes(8) + b"\xff\xff\xff\xff" + bytes(60)])
 def test_broken_images_have_a_reason(data):
     cells, width, _, digest, error = M.tiles(data)
     assert cells == [] and width is None and digest is None and error
@@ -75,7 +76,69 @@ def test_edge_cases(spark):
     rows = M.tile_images(M.render(docs)).collect()
     texts = [t for _, t, *_ in edge.ROWS]
     assert sum(r.error is not None for r in rows) == sum(not t for t in texts)
-    assert len(rows) == sum(4 if t else 1 for t in texts)
+    assert len(rows) == sum(4 if len(t or "") < 4000 and t else 256 if t else 1 for t in texts)
     assert M.tile_images(M.render(edge.empty(spark))).count() == 0
     own = spark.createDataFrame([(None, b"P5 1 1 255\nx", 1), (1, b"oops", 2)], "doc_id long, media binary, r int")
     assert sorted((r.doc_id, r.error) for r in M.tile_images(own).dropDuplicates(["doc_id"]).collect() if r.doc_id) == [(1, "unknown format")]
+
+
+def test_query_is_decoding_resizing_and_cutting_by_plain_loops(spark):
+    path = "/root/testdata/sf0.001"
+    media = {r.doc_id: bytes(r.media) for r in M.render(spark.read.parquet(f"{path}/documents.parquet")).collect()}
+    got = {}
+    for r in M.query(spark, path).collect():
+        got.setdefault(r.doc_id, {"size": (r.width, r.height), "hash": r.dhash, "error": r.error})[r.tile_row, r.tile_col] = np.load(io.BytesIO(r.npy))
+    assert got.keys() == media.keys()
+    for i in [k for k, data in media.items() if len(data) < 3000][:40]:
+        image, side = M.decode(media[i]), M.LEAST
+        while 2 * side <= min(M.MOST, max(image.shape[:2])):
+            side *= 2
+        bands = [image] if image.ndim == 2 else [image[:, :, b] for b in range(3)]
+        small = [brute_resize(b, side, side) for b in bands]
+        assert got[i]["error"] is None and got[i]["size"] == (image.shape[1], image.shape[0])
+        for y in range(side // M.TILE):
+            for x in range(side // M.TILE):
+                cut = [b[y * M.TILE : (y + 1) * M.TILE, x * M.TILE : (x + 1) * M.TILE] for b in small]
+                assert (got[i][y, x] == (cut[0] if image.ndim == 2 else np.stack(cut, axis=2))).all()
+        flat = image if image.ndim == 2 else (image.astype(int) @ [299, 587, 114] + 500) // 1000
+        nine = brute_resize(flat, 8, 9)
+        assert got[i]["hash"] % 2**64 == int("".join("1" if nine[y, x] < nine[y, x + 1] else "0" for y in range(8) for x in range(8)), 2)
+
+
+def bmp(depth, rows, palette=b"", packing=0, masks=b"", height=None, width=2):
+    start = 54 + len(masks) + len(palette)
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", start + len(rows), 0, start, 40, width, 2 if height is None else height, 1, depth, packing, len(rows), 0, 0, len(palette) // 4, 0) + masks + palette + rows
+
+
+def test_bmp_depths_masks_and_order():
+    two = bytes([0, 0, 0, 0, 255, 255, 255, 0])
+    assert M.decode(bmp(1, b"\x40\0\0\0\x80\0\0\0", two)).tolist() == [[255, 0], [0, 255]]
+    assert M.decode(bmp(4, b"\x01\0\0\0\x10\0\0\0", two)).tolist() == [[255, 0], [0, 255]]
+    colours = bytes([1, 2, 3, 0, 4, 5, 6, 0])
+    assert M.decode(bmp(4, b"\x01\0\0\0\x10\0\0\0", colours)).tolist() == [[[6, 5, 4], [3, 2, 1]], [[3, 2, 1], [6, 5, 4]]]
+    rows = bytes(range(16))
+    plain = M.decode(bmp(32, rows))
+    assert plain.tolist() == [[[10, 9, 8], [14, 13, 12]], [[2, 1, 0], [6, 5, 4]]]
+    assert M.decode(bmp(32, rows, height=-2)).tolist() == plain[::-1].tolist()  # top-down
+    swapped = M.decode(bmp(32, rows, packing=3, masks=struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)))
+    assert swapped.tolist() == plain[:, :, ::-1].tolist()
+    ten = M.decode(bmp(32, struct.pack("<4I", *[(1023 << 20) | (512 << 10)] * 4), packing=3, masks=struct.pack("<III", 1023 << 20, 1023 << 10, 1023)))
+    assert ten[0, 0].tolist() == [255, 128, 0]
+    assert M.decode(bmp(16, struct.pack("<4H", 0x7C00, 0x3E0, 0x1F, 0)))[1].tolist() == [[255, 0, 0], [0, 255, 0]]
+    assert M.decode(bmp(16, struct.pack("<4H", 0xF800, 0x7E0, 0x1F, 0), packing=3, masks=struct.pack("<III", 0xF800, 0x7E0, 0x1F)))[1].tolist() == [[255, 0, 0], [0, 255, 0]]
+    assert M.tiles(bmp(32, rows, packing=3, masks=struct.pack("<III", 5, 0xFF00, 0xFF0000)))[4] == "bad masks"
+
+
+def test_a_number_too_large_for_any_integer_counts_as_the_largest():
+    assert M.decode(b"P2 1 1 255 99999999999999999999").tolist() == [[255]]
+    assert M.decode(b"P2 2 1 255 0000000000000000000007 300").tolist() == [[7, 255]]
+
+
+def test_large_images_in_strips(monkeypatch):
+    image = np.random.default_rng(5).integers(0, 256, (301, 203, 3), dtype=np.uint8)
+    whole = M.area_resize(image, 32, 32)
+    text = b"P3 203 301 1000\n" + " ".join(str(int(v) * 3) for v in image.ravel()).encode()
+    decoded = M.decode(text)
+    monkeypatch.setattr(M, "STRIP", 700)
+    assert (M.area_resize(image, 32, 32) == whole).all() and (M.decode(text) == decoded).all()
+    assert (M.area_resize(image, 1, 1)[0, 0] == np.floor(image.reshape(-1, 3).mean(axis=0) + 0.5)).all()

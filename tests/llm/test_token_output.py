@@ -43,3 +43,21 @@ def test_lookup_and_file_layout(spark, tmp_path):
     streams = reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()
     kinds = [(s.getColumn(), s.getKind().toString()) for s in streams]
     assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds and not any(c != 1 and k.startswith("BLOOM") for c, k in kinds)
+
+
+def test_runs_of_any_length(spark):
+    """Runs that the pattern's engine can't go through, beside the ids of a pattern engine without that bound."""
+    import regex
+
+    pieces = regex.compile(T.PATTERN)
+
+    def plain(text):
+        return [i for m in pieces.finditer(text) for i in T.encoding()._encode_single_piece(m.group())]
+
+    n = 1_000_000
+    texts = [" " * n, "a" + " " * n + "b", "\n" * n + "x", " \n" * (n // 2) + " \t", "1" * n, "é" * n, "a b" + " " * 70_000 + "c  d" + "\u3000" * 70_000 + "!" + " " * 3]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.tokens for r in T.tokenize(docs).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == plain(t), k
+    assert T.encode("a  b").tolist() == plain("a  b")
