@@ -26,6 +26,7 @@ give 0. An empty table gives an empty result; further columns, also of names tha
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -105,14 +106,14 @@ def ball(width: int, radius: int) -> int:
 
 def upper_bits(n: int, width: int) -> int:
     """How many bits spread a segment's table over places of about PLACE fingerprints, and over 64 at least."""
-    return min(width - 1, max(6, math.ceil(math.log2(max(2, n / PLACE)))))
+    return min(width - 1, 24, max(6, math.ceil(math.log2(max(2, n / PLACE)))))
 
 
 def choose_segments(n: int, radius: int = RADIUS) -> int:
-    """The number of segments with the least expected cost for n fingerprints: rows that are shuffled (they cost about 20 lookups), lookups, and matches."""
+    """The number of segments with the least expected cost for n fingerprints. As measured a shuffled row costs four lookups, and a match half of one."""
     def cost(m: int) -> float:
         parts = [(w, r) for _, w, r in layout(m, radius) if r >= 0]
-        return sum(20 * (1 + ball(upper_bits(n, w), r)) + ball(w, r) * (1 + n / 2**w) for w, r in parts)
+        return sum(4 * (1 + ball(upper_bits(n, w), r) / 2) + ball(w, r) / 2 * (1 + 0.5 * n / 2**w) for w, r in parts)
 
     return min(SEGMENTS, key=cost)
 
@@ -120,39 +121,36 @@ def choose_segments(n: int, radius: int = RADIUS) -> int:
 def near_pairs(prints: DataFrame, m: int, radius: int = RADIUS, n: int = 1 << 20) -> DataFrame:
     """(a, b) of all rows of prints (node, hi, lo), whose fingerprints are distinct, within the radius; each pair once. n is about their number.
 
-    Both sides are spread by the segment and its upper bits; the join on all of its bits needs no further exchange where
+    Both sides are spread by the segment and its upper bits (`place`); the join on all of its bits needs no further exchange where
     spark.sql.requireAllClusterKeysForCoPartition is off, as `pairs_of` sets it.
     """
     parts = [p for p in layout(m, radius) if p[2] >= 0]
     lows = [w - upper_bits(n, w) for _, w, _ in parts]
-
-    def places(k: int, moved: bool) -> Column:
-        """The segment, its upper bits changed by each mask within the radius, its lower bits, and how many bits may still be changed there."""
-        (_, width, most), low = parts[k], lows[k]
-        v = segment("", parts[k])
-        up, down = F.shiftrightunsigned(v, low), v.bitwiseAND((1 << low) - 1)
-        row = lambda x, left: F.struct(F.lit(k).alias("s"), up.bitwiseXOR(x).alias("up"), down.alias("down"), left.alias("left"))
-        if not moved:
-            return F.array(row(F.lit(0).cast("long"), F.lit(0)))
-        reach = F.filter(F.array(*[F.lit(x).cast("long") for x in masks(width - low, most)]), lambda x: (x == 0) | (up.bitwiseXOR(x) > up))
-        # left: the bits that may change below, with -1 - left where the upper bits are the own ones
-        return F.transform(reach, lambda x: row(x, F.when(x == 0, F.lit(-1 - most)).otherwise(F.lit(most) - F.bit_count(x))))
-
-    def spread(rows: DataFrame, moved: bool, names: list[str]) -> DataFrame:
-        out = rows.select("node", "hi", "lo", F.explode(F.flatten(F.array(*[places(k, moved) for k in range(len(parts))]))).alias("x"))
-        return out.select("node", "hi", "lo", "x.*").repartition("s", "up").toDF(*names)
-
-    table = spread(prints, False, ["tnode", "thi", "tlo", "s", "up", "down", "none"]).drop("none")
-    probes = spread(prints, True, ["node", "hi", "lo", "s", "up", "own", "left"])
-    reach = F.lit(None).cast("array<long>")
-    for low in sorted(set(lows)):
-        mine = F.col("s").isin([k for k, x in enumerate(lows) if x == low])
-        for left in range(max(r for *_, r in parts) + 1):
-            array = F.array(*[F.lit(x).cast("long") for x in masks(low, left)])
-            reach = F.when(mine & (F.col("left") == left), array).when(mine & (F.col("left") == -1 - left), array).otherwise(reach)
-    probes = probes.select("*", F.explode(reach).alias("x")).select("node", "hi", "lo", "s", "up", "left", "x", F.col("own").bitwiseXOR(F.col("x")).alias("down"), "own")
-    probes = probes.filter((F.col("left") >= 0) | (F.col("x") == 0) | (F.col("down") > F.col("own")))
-    met = probes.select("node", "hi", "lo", "s", "up", "down", ((F.col("left") >= 0) | (F.col("x") != 0)).alias("moved")).join(table.hint("shuffle_hash"), ["s", "up", "down"])
+    longs = lambda values: F.array(*[F.lit(x).cast("long") for x in values])
+
+    def by_segment(of: dict[int, Column]) -> Column:
+        """The value for the row's segment s; a case for each different one."""
+        out, groups = F.lit(None), {}
+        for k, value in of.items():
+            groups.setdefault(str(value._jc), (value, []))[1].append(k)
+        for value, ks in groups.values():
+            out = F.when(F.col("s").isin(ks), value).otherwise(out)
+        return out
+
+    stored = F.array(*[F.struct(F.lit(k).alias("s"), F.shiftrightunsigned(segment("", p), low).alias("up"), segment("", p).bitwiseAND((1 << low) - 1).cast("int").alias("own")) for k, (p, low) in enumerate(zip(parts, lows))])
+    cut_up = prints.select("node", "hi", "lo", F.explode(stored).alias("x")).select("node", "hi", "lo", "x.*")
+    place = lambda up: F.shiftleft(F.col("s"), 24).bitwiseOR(up.cast("int")).alias("place")
+    # two keys of 4 bytes, which the join packs into one long
+    table = cut_up.select(F.col("node").alias("tnode"), F.col("hi").alias("thi"), F.col("lo").alias("tlo"), place(F.col("up")), F.col("own").alias("down")).repartition("place")
+    upper = by_segment({k: longs(masks(w - low, most)) for k, ((_, w, most), low) in enumerate(zip(parts, lows))})
+    probes = cut_up.select("*", F.explode(upper).alias("x")).filter((F.col("x") == 0) | (F.col("up").bitwiseXOR(F.col("x")) > F.col("up")))
+    most = by_segment({k: F.lit(most) for k, (*_, most) in enumerate(parts)})
+    probes = probes.select("node", "hi", "lo", place(F.col("up").bitwiseXOR(F.col("x"))), "own", (most - F.bit_count("x")).cast("byte").alias("left"), (F.col("x") != 0).alias("moved")).repartition("place")
+    probes = probes.withColumn("s", F.shiftright("place", 24))
+    lower = by_segment({k: functools.reduce(lambda rest, left: F.when(F.col("left") == left, F.array(*map(F.lit, masks(low, left)))).otherwise(rest), range(most + 1), F.lit(None)) for k, ((*_, most), low) in enumerate(zip(parts, lows))})
+    probes = probes.select("*", F.explode(lower).alias("x")).withColumn("down", F.col("own").bitwiseXOR(F.col("x")))
+    probes = probes.filter(F.col("moved") | (F.col("x") == 0) | (F.col("down") > F.col("own")))
+    met = probes.select("node", "hi", "lo", "s", "place", "down", (F.col("moved") | (F.col("x") != 0)).alias("moved")).join(table.hint("shuffle_hash"), ["place", "down"])
     earlier = F.lit(False)
     for k, p in enumerate(parts[:-1]):
         earlier = earlier | ((F.col("s") > k) & (F.bit_count(segment("", p).bitwiseXOR(segment("t", p))) <= p[2]))
