@@ -56,7 +56,7 @@ def main() -> None:
             "query_and_k_least": lambda: sink(engine.query_and_k_least(text, "text", 0.5)),
             "query_or_k": lambda: sink(engine.query_or_k(text, "text", 0.5)),
             "query_or_k_least": lambda: sink(engine.query_or_k_least(text, "text", 0.5)),
-            "bm25_top20": lambda: Q.top_k(Q.bm25(engine.postings, engine.stats, QUERY_TOKENS, field="text"), 20).collect(),
+            "bm25_top20": lambda: Q.top_k(Q.bm25(engine.postings, None, QUERY_TOKENS, field="text"), 20).collect(),
             "token_exact": lambda: D.exact(engine.postings, QUERY_TOKENS[0]).count(),
             "token_prefix": lambda: D.prefix(engine.postings, "re").count(),
             "doc_fetch_by_id": lambda: engine.fetch([3, 5, 8, 13]).collect(),

@@ -102,9 +102,16 @@ def tag_of(value: Column) -> Column:
     return F.shiftright(value, 48).cast("short")
 
 
-def random_id() -> Column:
-    """A random number from 0 to 2^62 - 1."""
-    return F.floor(F.rand() * float(1 << 62)).cast("long")
+def random_id(seed: int | None = None) -> Column:
+    """A random number from 0 to 2^62 - 1, of 62 random bits."""
+    seeds = (None, None) if seed is None else (seed, seed + 1)
+    high, low = (F.floor((F.rand() if x is None else F.rand(x)) * float(1 << 31)).cast("long") for x in seeds)
+    return F.shiftleft(high, 31).bitwiseOR(low)
+
+
+def random_ids(n: int) -> Column:
+    """An array of n random numbers."""
+    return F.array(*[random_id() for _ in range(n)])
 
 
 def now_nanos() -> Column:
@@ -127,10 +134,3 @@ def from_little_endian(x: Column, width: int = 8) -> Column:
     digits = F.concat(*[F.substring(F.hex(x), 2 * (width - i) - 1, 2) for i in range(width)])
     value = F.conv(digits, 16, 10).cast("decimal(20,0)")
     return F.when(value >= F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), value - F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(value).cast("long")
-
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out

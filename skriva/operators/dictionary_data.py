@@ -1,4 +1,4 @@
-"""The packaged word lists: data/words.tsv has (word, list, place in the list)."""
+"""The packaged word lists: data/words.tsv has (list, place in the list, word), sorted; data/ORIGIN.md tells where they come from."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ _FILE = Path(__file__).parent.parent / "data" / "words.tsv"
 def words(name: str) -> tuple[str, ...]:
     """The words of one list ("en", "cn", "pause"), in its order, each once."""
     with _FILE.open(encoding="utf-8", newline="") as f:
-        rows = [(int(place), word) for word, kind, place in csv.reader(f, delimiter="\t", quoting=csv.QUOTE_NONE) if kind == name]
+        rows = [(int(place), word) for kind, place, word in csv.reader(f, delimiter="\t", quoting=csv.QUOTE_NONE) if kind == name]
     return tuple(dict.fromkeys(w for _, w in sorted(rows)))
 
 

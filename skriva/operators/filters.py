@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stem_udf
-from ..functions.tagging import ChineseTagger, EnglishTagger, noun_runs, tag_english
+from ..functions.tagging import ChineseTagger, EnglishTagger, noun_runs, tag_chinese, tag_english
 from .dictionary_data import words
 
 TokenFilter = Callable[[Column], Column]
@@ -86,7 +86,7 @@ def chinese_pauses(pauses: Iterable[str] | None = None) -> TokenFilter:
     return (lambda tokens: F.flatten(F.transform(tokens, cut))) if listed else (lambda tokens: tokens)
 
 
-def chinese_nouns(tagger: ChineseTagger, names: Iterable[str] = (), drop_last: bool = False) -> TokenFilter:
+def chinese_nouns(tagger: ChineseTagger = tag_chinese, names: Iterable[str] = (), drop_last: bool = False) -> TokenFilter:
     """Runs of nouns of each segment, joined, and then its words that are in `names`."""
     known = frozenset(names)
 

@@ -50,18 +50,28 @@ def field_column(docs: DataFrame, name: str) -> str:
     raise ValueError(f"no field {name!r} in {docs.columns}")
 
 
-def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, id_col: str = "doc_id", binary_tf: bool = False) -> DataFrame:
-    """(field, token, doc_id, tf): occurrences of each token in each document; tf is 1 throughout with binary_tf."""
-    column = field_column(docs, field)
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.explode(analyzer(F.col(column))).alias("token"))
-    counted = tokens.groupBy("token", "doc_id").agg(F.count("*").cast("int").alias("tf"))
-    return counted.select(F.lit(field).alias("field"), "token", "doc_id", (F.lit(1) if binary_tf else F.col("tf")).alias("tf"))
+def _length(unit: str):
+    return {"chars": F.char_length, "bytes": F.octet_length}[unit]
+
+
+def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, id_col: str = "doc_id", binary_tf: bool = False, unit: str | None = None) -> DataFrame:
+    """(field, token, doc_id, tf): occurrences of each token in each document; tf is 1 throughout with binary_tf. With a unit also field_len, as in doc_stats.
+
+    Documents are spread by their id first, so that texts in few files still are analyzed by all cores. As tokens of a document then are in
+    one place, they are counted there: texts are shuffled, but no tokens.
+    """
+    column = F.col(field_column(docs, field))
+    spark = docs.sparkSession
+    length = [_length(unit)(column).cast("long").alias("field_len")] if unit else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), column.alias("__text"), *length).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    tokens = rows.select("doc_id", F.explode(analyzer(F.col("__text"))).alias("token"), *["field_len"] * len(length))
+    counted = tokens.groupBy("doc_id", "token").agg(F.count("*").cast("int").alias("tf"), *[F.max("field_len").alias("field_len")] * len(length))
+    return counted.select(F.lit(field).alias("field"), "token", "doc_id", (F.lit(1) if binary_tf else F.col("tf")).alias("tf"), *["field_len"] * len(length))
 
 
 def doc_stats(docs: DataFrame, field: str = "text", id_col: str = "doc_id", unit: str = "chars", keep: Sequence[str] = ()) -> DataFrame:
     """(field, doc_id, field_len) and the columns to keep: length in chars or bytes; -1 where the field is null."""
-    length = {"chars": F.char_length, "bytes": F.octet_length}[unit]
-    return docs.select(F.lit(field).alias("field"), F.col(id_col).alias("doc_id"), F.coalesce(length(F.col(field_column(docs, field))), F.lit(-1)).cast("long").alias("field_len"), *keep)
+    return docs.select(F.lit(field).alias("field"), F.col(id_col).alias("doc_id"), F.coalesce(_length(unit)(F.col(field_column(docs, field))), F.lit(-1)).cast("long").alias("field_len"), *keep)
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
@@ -94,6 +104,12 @@ def term_frequency(post: DataFrame, token: str, ids: DataFrame, id_col: str = "d
     return ids.select(F.col(id_col).alias("doc_id")).join(own, "doc_id", "left").select("doc_id", F.coalesce("tf", F.lit(0)).alias("tf"))
 
 
+def document_fields(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, fields): the names of the fields that a document has, those that aren't null."""
+    names = [F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in docs.columns if c != id_col]
+    return docs.select(F.col(id_col).alias("doc_id"), F.array_compact(F.array(*names)).alias("fields") if names else F.array().cast("array<string>").alias("fields"))
+
+
 def unbuilt(docs: DataFrame, build_log: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:
     """The documents that the build log doesn't have for the field."""
     done = build_log.filter(F.col("field") == field).select(F.col("doc_id").alias("__built"))

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import at_least_k_subsets, k_subsets
 
-#: C(n, k) groups: with more distinct tokens than this, group queries are refused and `matching` is to be used.
+#: C(n, k) groups: with more distinct tokens than this, `k_groups` refuses; `matching`, and `bm25` with `least`, take any number, as one group.
 MAX_TOKENS = 12
+#: The width of the stretches of scores by which medians are found; with six digits one has 10,000 scores at most.
+BIN = 0.01
 
 
 def distinct_tokens(tokens: Sequence[str]) -> list[str]:
@@ -39,15 +41,16 @@ def k_groups(tokens: Sequence[str], k: float, at_least: bool) -> list[tuple[str,
 
 
 def matches(postings: DataFrame, tokens: Sequence[str], field: str | None = None) -> DataFrame:
-    """(doc_id, tf): an array of the counts of the distinct tokens, in their order, of each document with any of them."""
+    """(doc_id, tf): an array of the counts of the distinct tokens, in their order, of each document with any of them; also field_len, if the postings have it."""
     own = distinct_tokens(tokens)
     rows = postings.filter(F.col("token").isin(own)) if own else postings.filter(F.lit(False))
     if field is not None:
         rows = rows.filter(F.col("field") == field)
+    length = ["field_len"] if "field_len" in postings.columns else []
     if not own:
-        return rows.select("doc_id", F.array().cast("array<int>").alias("tf"))
+        return rows.select("doc_id", F.array().cast("array<int>").alias("tf"), *length)
     counts = [F.coalesce(F.sum(F.when(F.col("token") == t, F.col("tf"))), F.lit(0)).cast("int").alias(f"__{i}") for i, t in enumerate(own)]
-    return rows.groupBy("doc_id").agg(*counts).select("doc_id", F.array(*[f"__{i}" for i in range(len(own))]).alias("tf"))
+    return rows.groupBy("doc_id").agg(*counts, *[F.max(c).alias(c) for c in length]).select("doc_id", F.array(*[f"__{i}" for i in range(len(own))]).alias("tf"), *length)
 
 
 def matching(postings: DataFrame, tokens: Sequence[str], least: int, field: str | None = None) -> DataFrame:
@@ -96,7 +99,7 @@ def query_or_k(postings: DataFrame, tokens: Sequence[str], k: float, at_least: b
 
 def bm25(
     postings: DataFrame,
-    stats: DataFrame,
+    stats: DataFrame | None,
     tokens: Sequence[str],
     groups: Sequence[tuple[str, ...]] | None = None,
     every: bool = False,
@@ -107,26 +110,40 @@ def bm25(
     idf: str = "classic",
     field: str | None = None,
     digits: int = 6,
+    corpus: DataFrame | None = None,
+    least: int | None = None,
 ) -> DataFrame:
     """(token_group, doc_id, score) by Okapi BM25.
 
+    Lengths are those of the postings, where they have field_len, and else of stats (doc_id, field_len). With n_scope "corpus", corpus is one row
+    (n, avg_len), or else comes of stats. With `least` the documents that have so many of the tokens are one group.
+
     N and the mean length are those of the candidates (documents with any token) or of the corpus; idf is
     ln((N - df + 0.5) / (df + 0.5)), which is negative for frequent tokens, or with "plus1" ln(1 + that).
     With k2, a token that the query repeats counts qtf (k2 + 1) / (qtf + k2) times.
     """
     own = distinct_tokens(tokens)
     groups = [tuple(own)] if groups is None and own else groups or []
-    lengths = stats if field is None else stats.filter(F.col("field") == field)
-    found = matches(postings, tokens, field).join(lengths.select("doc_id", "field_len"), "doc_id")
+    if not own:
+        least = None
+    lengths = stats if field is None or stats is None else stats.filter(F.col("field") == field)
+    found = matches(postings, tokens, field)
+    if "field_len" not in found.columns:
+        found = found.join(lengths.select("doc_id", "field_len"), "doc_id")
     sums = [F.count("*").alias("n"), F.avg("field_len").alias("avg_len")]
     df = F.array(*[F.sum((F.get(F.col("tf"), F.lit(i)) > 0).cast("long")) for i in range(len(own))]) if own else F.array().cast("array<long>")
     if n_scope == "candidates":
         scope = found.agg(*sums, df.alias("df"))
     elif n_scope == "corpus":
-        scope = lengths.agg(*sums).crossJoin(found.agg(df.alias("df")))
+        scope = (corpus if corpus is not None else lengths.agg(*sums)).crossJoin(found.agg(df.alias("df")))  # one row each
     else:
         raise ValueError(f"no such scope: {n_scope}")
-    rows = grouped(found, tokens, groups, every).crossJoin(F.broadcast(scope))  # scope is one row
+    if least is not None:
+        some = found.filter(F.size(F.filter("tf", lambda n: n > 0)) >= least)
+        met = some.select("*", F.lit(f"{least} of {_label(own, every)}").alias("token_group"), F.array(*[F.lit(i) for i in range(len(own))]).alias("slots"))
+    else:
+        met = grouped(found, tokens, groups, every)
+    rows = met.crossJoin(F.broadcast(scope))  # scope is one row
 
     def weight(i: Column) -> Column:
         tf, d = F.get(F.col("tf"), i).cast("double"), F.get(F.col("df"), i).cast("double")
@@ -145,9 +162,18 @@ def bm25(
 def group_scores(ranked: DataFrame) -> DataFrame:
     """(token_group, docs, group_score): the score in the middle of the group's list by falling score, for an even number the lower one.
 
-    That is the discrete median, which aggregates without bringing a group's list into one task.
+    That is the discrete median. It is found in two steps, so that no task holds a group's list or all of its different scores: the counts
+    of stretches of BIN tell which stretch it is in, and the counts of the scores in that stretch tell the score.
     """
-    return ranked.groupBy("token_group").agg(F.count("*").alias("docs"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score)").alias("group_score"))
+    order = Window.partitionBy("token_group").orderBy("bin")
+    bins = ranked.groupBy("token_group", F.floor(F.col("score") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    summed = bins.select("*", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("token_group")).alias("docs"))
+    place = F.floor((F.col("docs") + 1) / 2)
+    inside = summed.filter((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select("token_group", "bin", "docs", (place - F.col("upto") + F.col("n")).alias("place"))
+    near = ranked.withColumn("bin", F.floor(F.col("score") / BIN)).join(F.broadcast(inside), ["token_group", "bin"])  # one row a group, at most 2^MAX_TOKENS
+    scores = near.groupBy("token_group", "score").agg(F.count("*").alias("n"), F.first("docs").alias("docs"), F.first("place").alias("place"))
+    counted = scores.withColumn("upto", F.sum("n").over(Window.partitionBy("token_group").orderBy("score")))
+    return counted.filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))).select("token_group", "docs", F.col("score").alias("group_score"))
 
 
 def ranked_groups(ranked: DataFrame) -> DataFrame:
@@ -159,7 +185,5 @@ def ranked_groups(ranked: DataFrame) -> DataFrame:
 
 def top_k(ranked: DataFrame, k: int) -> DataFrame:
     """The k best documents of each group, with their rank; each task cuts its own rows first."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("token_group").orderBy(F.desc("score"), "doc_id")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

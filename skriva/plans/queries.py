@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..engine import SearchEngine
 from ..functions import scalar
-from ..functions.tagging import DictionaryTagger
 from ..operators import dictionary as D
 from ..operators import filters as T
 from ..operators import index as I
@@ -19,7 +18,7 @@ from ..operators.dictionary_data import dictionary
 from ..session import shared_path
 from ..sources import loaders, store
 from ..streaming.build import document_stream, read_index, stream_build
-from .sql import QUERY_TOKENS, SHORT_TOKENS
+from .sql import CHINESE, LONG_TOKENS, QUERY_TOKENS, SHORT_TOKENS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,7 +85,7 @@ def stem_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 @named
 def index_nlp_nouns(spark: SparkSession, folder: str) -> DataFrame:
-    return I.postings(_table(spark, folder), analyzer=I.Analyzer(filters=(T.nouns(), T.lowercase, T.stop_words(), T.stems), strip_separator=True))
+    return I.postings(_table(spark, folder), analyzer=I.Analyzer(filters=(T.lowercase, T.nouns(), T.stop_words(), T.stems), strip_separator=True))
 
 
 @named
@@ -106,10 +105,11 @@ def zh_pause_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @named
 def zh_nouns(spark: SparkSession, folder: str) -> DataFrame:
-    """Noun runs in part names written without spaces, as the tables have no Chinese."""
-    lexicon = dict.fromkeys("small red blue hot".split(), "a") | dict.fromkeys("ring widget bolt gear gizmo".split(), "n")
-    nouns = T.chinese_nouns(DictionaryTagger(lexicon), names=("ring",))
-    return _counts(_table(spark, folder, "part"), I.Analyzer("zh", filters=(nouns,))(F.replace("p_name", F.lit(" "), F.lit(""))))
+    """Nouns of Chinese sentences about the parts, whose names are translated, as the tables have no Chinese; rings count as names too."""
+    words = F.split("p_name", " ")
+    to = F.create_map(*[F.lit(x) for pair in CHINESE.items() for x in pair])
+    text = F.concat(F.lit("我们在"), to[words[1]], F.lit("工厂看到了"), to[words[0]], F.lit("的"), to[words[1]], F.lit("，非常好"))
+    return _counts(_table(spark, folder, "part"), I.Analyzer("zh", filters=(T.chinese_nouns(names=(CHINESE["ring"],)),))(text))
 
 
 @named
@@ -185,11 +185,11 @@ def incremental_build(spark: SparkSession, folder: str) -> DataFrame:
 
 @named
 def compact_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Two overlapping generations of postings on disk, compacted."""
+    """Two generations of postings on disk, of doubled texts and then of the texts; compaction keeps the newer record."""
     path = shared_path(spark, "generations")
-    post = _postings(spark, folder)
-    for _ in range(2):
-        store.write_postings(post, path)
+    docs = _table(spark, folder)
+    store.write_postings(I.postings(docs.withColumn("text", F.concat_ws(" ", "text", "text"))), f"{path}/generation=0")
+    store.write_postings(I.postings(docs), f"{path}/generation=1")
     store.compact(spark, path, f"{path}-compact", force=True)
     return store.read_postings(spark, f"{path}-compact")
 
@@ -330,16 +330,105 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return Q.top_k(Q.bm25(*_index(spark, folder), QUERY_TOKENS), 20)
 
 
+def _engine(spark: SparkSession, folder: str, **options) -> SearchEngine:
+    """All documents loaded and built in two steps."""
+    engine = SearchEngine(spark, shared_path(spark, "engine"), **options)
+    docs = _table(spark, folder)
+    engine.load(docs.filter("lang = 'en'"), "english")
+    engine.build("text")
+    engine.load(docs.filter("lang IS NULL OR lang <> 'en'"), "other")
+    engine.build("text")
+    return engine
+
+
+_TEXT = " ".join(QUERY_TOKENS)
+
+
 @named
 def engine_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Load, build in two steps, and query through the facade."""
-    engine = SearchEngine(spark, shared_path(spark, "engine"))
-    docs = _table(spark, folder)
-    engine.load(docs.filter("lang = 'en'"))
+    return _engine(spark, folder).query_or(_TEXT, "text").select("token_group", "doc_id", "score")
+
+
+@named
+def engine_query_or(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).query_or(_TEXT, "text")
+
+
+@named
+def engine_query_and(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).query_and(" ".join(SHORT_TOKENS), "text")
+
+
+@named
+def engine_query_and_k(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).query_and_k(_TEXT, "text", 0.5)
+
+
+@named
+def engine_query_and_k_least(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).query_and_k_least(_TEXT, "text", 0.5)
+
+
+@named
+def engine_query_or_k(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).query_or_k(_TEXT, "text", 0.5)
+
+
+@named
+def engine_query_or_k_least(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).query_or_k_least(_TEXT, "text", 0.5)
+
+
+@named
+def engine_corpus_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """N and mean length of the whole corpus, as the batches have summed them."""
+    return _engine(spark, folder, n_scope="corpus", idf="plus1").query_or(_TEXT, "text").select("token_group", "doc_id", "score")
+
+
+@named
+def engine_many_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of more tokens than can be put in groups: the documents are one group."""
+    return _engine(spark, folder).query_and_k_least(" ".join(LONG_TOKENS), "text", 0.5).select("token_group", "doc_id", "score")
+
+
+def _replaced(spark: SparkSession, folder: str) -> SearchEngine:
+    """Every document built with another text first, and the English ones loaded and built anew."""
+    engine, docs = SearchEngine(spark, shared_path(spark, "engine")), _table(spark, folder)
+    engine.load(docs.withColumn("text", F.concat(F.lit("obsolete words "), "text")))
     engine.build("text")
-    engine.load(docs.filter("lang IS NULL OR lang <> 'en'"))
+    engine.load(docs.filter("lang = 'en'"))
     engine.build("text")
-    return engine.query_or(" ".join(QUERY_TOKENS), "text").select("token_group", "doc_id", "score")
+    return engine
+
+
+@named
+def engine_replace(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are loaded again are indexed anew, and their earlier postings count no more."""
+    return _replaced(spark, folder).postings.select("token", "doc_id", "tf", "field_len")
+
+
+@named
+def engine_compact(spark: SparkSession, folder: str) -> DataFrame:
+    """The same once the index is rewritten without them."""
+    engine = _replaced(spark, folder)
+    engine.compact(force=True)
+    return read_index(spark, engine.path, "postings").select("token", "doc_id", "tf", "field_len")
+
+
+@named
+def engine_doc_types(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).doc_types()
+
+
+@named
+def engine_ids_of_type(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).ids("english").select("doc_id")
+
+
+@named
+def engine_document_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).document_fields().select("doc_id", F.array_join(F.array_sort("fields"), " ").alias("fields"))
 
 
 # documents
@@ -376,10 +465,10 @@ def doc_dedupe_by_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 @named
 def news_text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as text files in category folders (a file each), loaded, exported as XML, and read again."""
+    """Conversations as text files in category folders (a file for each turn), loaded, exported as XML, and read again."""
     path = shared_path(spark, "news")
-    text = F.concat_ws("\n", "s_name", F.concat(F.lit("Balance "), F.col("s_suppkey").cast("string")), F.lit("End"))
-    rows = _table(spark, folder, "supplier").select(F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("category"), text.alias("value"))
+    text = F.concat_ws("\n", F.concat_ws(" ", F.lit("Talk"), "conv_id", "turn"), F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), F.lit("End"))
+    rows = _table(spark, folder, "conversations").select(F.concat(F.lit("by "), F.col("role")).alias("category"), text.alias("value"))
     rows.write.partitionBy("category").option("lineSep", "\x01").option("maxRecordsPerFile", 1).text(f"{path}/texts")
     read = loaders.read_news_texts(spark, f"{path}/texts")
     news = read.withColumn("category", F.substring_index("category", "=", -1)).withColumn("content", F.rtrim("content", F.lit("\x01")))
@@ -389,9 +478,10 @@ def news_text_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @named
 def wiki_xml_gz(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as a gzip XML dump with links, loaded again."""
+    """Pages with all of their text as a gzip XML dump with links, loaded again."""
     path = shared_path(spark, "wiki")
-    pages = _table(spark, folder, "pages").select(F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), "url", F.concat(F.lit("About "), "url").alias("abstract"), F.struct(F.array(F.struct(F.lit("nav").alias("_linktype"), F.lit("Home").alias("anchor"), F.col("url").alias("link"))).alias("sublink")).alias("links"))
+    words = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[^\p{L}\p{N}]+", " "))
+    pages = _table(spark, folder, "pages").select(F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), "url", words.alias("abstract"), F.struct(F.array(F.struct(F.lit("nav").alias("_linktype"), F.lit("Home").alias("anchor"), F.col("url").alias("link"))).alias("sublink")).alias("links"))
     pages.write.format("xml").option("rowTag", "doc").option("rootTag", "feed").option("compression", "gzip").save(path)
     return loaders.read_wiki_xml(spark, path, strict=True).select("title", "url", "abstract", F.get("sublinks", F.lit(0))["link"].alias("first_link"), F.size("sublinks").alias("links"))
 

@@ -9,9 +9,15 @@ from ..operators.filters import LINE_MARKS
 
 QUERY_TOKENS = ["from", "that", "this", "with"]
 SHORT_TOKENS = ["that", "with"]
+LONG_TOKENS = ["and", "are", "as", "at", "for", "from", "in", "is", "it", "of", "on", "that", "the", "this", "to", "with"]
+CHINESE = {
+    "red": "红", "blue": "蓝", "green": "绿", "small": "小", "large": "大", "hot": "热", "cold": "冷", "old": "旧", "new": "新",
+    "plate": "盘子", "widget": "零件", "ring": "戒指", "rod": "杆子", "gizmo": "机器", "bolt": "螺栓", "gear": "齿轮", "anvil": "铁砧",
+}
 
 _PIECE = r"[^\s\x{0B}\x{85}\p{Z}][\p{L}\p{N}]*"
 _FIELD = r"[^\s\x{0B}\x{85}\p{Z}]+"
+_OTHER = r"[^\p{L}\p{N}]+"
 _LINE = "[" + "".join("\\" + c if ord(c) < 128 else c for c in LINE_MARKS).replace("'", "''") + "]"
 
 
@@ -94,7 +100,11 @@ x AS (SELECT p_partkey, p_name, min(i) AS i FROM part, w WHERE contains(p_name,
 y AS (SELECT p_partkey AS doc_id, [substr(p_name, 1, instr(p_name, w) - 1), substr(p_name, instr(p_name, w) + char_length(w))] AS t FROM x JOIN w USING (i)
       UNION ALL SELECT p_partkey, [p_name] FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM x))
 {_TOKEN_ROWS.format('FROM y')}""",
-    "dictionary_words": "SELECT * FROM " + _values([(_quote(n), f"{len(words(n))}::BIGINT") for n in ("en", "cn", "pause")], "v(name, words)"),
+    "zh_nouns": f"""
+WITH z AS (SELECT * FROM {_values([(_quote(a), _quote(b)) for a, b in CHINESE.items()], 'v(en, zh)')}),
+n AS (SELECT zh, en FROM part JOIN z ON en = split_part(p_name, ' ', 2))
+SELECT token, count(*) AS n FROM (SELECT zh || '工厂' AS token FROM n UNION ALL SELECT zh FROM n UNION ALL SELECT zh FROM n WHERE en = 'ring') GROUP BY token""",
+    "dictionary_words": "SELECT * FROM (VALUES ('en', 923::BIGINT), ('cn', 1472::BIGINT), ('pause', 746::BIGINT)) AS v(name, words)",
     "build_postings": f"{_P} SELECT 'text' AS field, token, doc_id, tf FROM p",
     "build_postings_binary": f"{_P} SELECT 'text' AS field, token, doc_id, 1 AS tf FROM p",
     "posting_lists": f"{_P} SELECT token, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids, string_agg(tf, ',' ORDER BY doc_id) AS tfs FROM p GROUP BY token",
@@ -104,7 +114,7 @@ y AS (SELECT p_partkey AS doc_id, [substr(p_name, 1, instr(p_name, w) - 1), subs
     "vocab_df": f"{_P} SELECT 'text' AS field, token, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY token",
     "multi_field_build": "WITH " + ", ".join(_post(c, t, k, c) for c, t, k in (("p_name", "part", "p_partkey"), ("p_brand", "part", "p_partkey"), ("url", "pages", "page_id"), ("html", "pages", "page_id"))) + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, token, count(*) AS df, sum(tf)::BIGINT AS cf FROM {c} GROUP BY token" for c in ("p_name", "p_brand", "url", "html")),
     "merge_postings": f"{_P}, {_TALK} SELECT 'text' AS field, token, doc_id, sum(tf)::INT AS tf FROM (FROM p UNION ALL FROM q) GROUP BY token, doc_id",
-    "compact_postings": f"{_P} SELECT 'text' AS field, token, doc_id, (2 * tf)::INT AS tf FROM p",
+    "compact_postings": f"{_P} SELECT 'text' AS field, token, doc_id, tf FROM p",
     "token_exact": f"{_P} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM p WHERE token = {_quote(QUERY_TOKENS[0])} GROUP BY token",
     "token_prefix": f"{_P} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM p WHERE starts_with(token, 're') AND token <> 're' GROUP BY token",
     "token_range": f"{_P} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM p WHERE token >= 'ma' AND token < 'pe' GROUP BY token",
@@ -130,8 +140,8 @@ y AS (SELECT p_partkey AS doc_id, [substr(p_name, 1, instr(p_name, w) - 1), subs
     "doc_types": "SELECT 'document' AS doc_type, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes FROM documents UNION ALL SELECT 'page', count(*), sum(strlen(html))::BIGINT FROM pages",
     "doc_id_hash": f"SELECT page_id, {_hash(chr(39) + 'wiki#' + chr(39) + ' || url')} AS id FROM pages",
     "doc_dedupe_by_hash": "SELECT sha256(text) AS id, max(doc_id) AS stored, arg_max(lang, doc_id) AS lang FROM documents GROUP BY text",
-    "news_text_files": "SELECT 'nation ' || s_nationkey AS category, s_name AS title, chr(10) || 'Balance ' || s_suppkey || chr(10) || 'End' AS content FROM supplier",
-    "wiki_xml_gz": "SELECT 'Page ' || page_id AS title, url, 'About ' || url AS abstract, url AS first_link, 1 AS links FROM pages",
+    "news_text_files": rf"SELECT 'by ' || role AS category, 'Talk ' || conv_id || ' ' || turn AS title, chr(10) || trim(regexp_replace(text, '{_OTHER}', ' ', 'g')) || chr(10) || 'End' AS content FROM conversations",
+    "wiki_xml_gz": rf"SELECT 'Page ' || page_id AS title, url, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_OTHER}', ' ', 'g')) AS abstract, url AS first_link, 1 AS links FROM pages",
     "scalar_functions": f"""
 SELECT p_partkey, {_hash('p_name')} AS text_id, sha256(p_name) AS sha256,
   (SELECT coalesce(nullif(max(i), 0), -1)::INT FROM (SELECT unnest(range(0, least(char_length(p_name), char_length(p_type)) + 1)) AS i) WHERE substr(p_name, 1, i) = substr(p_type, 1, i)) AS prefix,
@@ -140,4 +150,27 @@ SELECT p_partkey, {_hash('p_name')} AS text_id, sha256(p_name) AS sha256,
     "intersect_ids": f"{_P} SELECT doc_id FROM p WHERE token IN ({_list(SHORT_TOKENS)}) GROUP BY doc_id HAVING count(*) = 2",
     "id_set_arrays": "SELECT p_partkey, array_to_string(list_sort(list_distinct(a || b)), ' ') AS \"any\", array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS both, list_contains(a, 'blue') AS has_blue FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part)",
 }
-SQL |= {"incremental_build": SQL["build_postings"], "stream_build_postings": SQL["vocab_df"], "engine_round_trip": SQL["bm25_or"]}
+
+
+def _engine(tokens: list[str], sizes, sep: str) -> str:
+    """The groups with the middle score of each."""
+    middle = "m2 AS (SELECT token_group, list_sort(list(score), 'DESC')[count(*) // 2 + 1] AS group_score FROM ranked GROUP BY token_group)"
+    return _bm25(tokens, sizes, sep) + f", {middle} SELECT 'text' AS field, token_group, group_score, doc_id, score FROM ranked JOIN m2 USING (token_group)"
+
+
+_LATER = "SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE 'obsolete words ' || text END AS text FROM documents"
+SQL |= {
+    "engine_query_or": _engine(QUERY_TOKENS, _ALL4, "|"),
+    "engine_query_and": _engine(SHORT_TOKENS, _ALL2, "&"),
+    "engine_query_and_k": _engine(QUERY_TOKENS, [2], "&"),
+    "engine_query_and_k_least": _engine(QUERY_TOKENS, [2, 3, 4], "&"),
+    "engine_query_or_k": _engine(QUERY_TOKENS, [2], "|"),
+    "engine_query_or_k_least": _engine(QUERY_TOKENS, [2, 3, 4], "|"),
+    "engine_corpus_scope": _bm25(QUERY_TOKENS, _ALL4, "|", corpus=True, plus1=True) + " SELECT * FROM ranked",
+    "engine_many_tokens": _bm25(LONG_TOKENS, [len(LONG_TOKENS)], "|") + f" SELECT '8 of {'&'.join(LONG_TOKENS)}' AS token_group, doc_id, score FROM ranked WHERE doc_id IN (SELECT doc_id FROM m GROUP BY doc_id HAVING count(*) >= 8)",
+    "engine_replace": f"WITH later AS ({_LATER}), {_post('p', 'later')} SELECT token, doc_id, tf, char_length(text)::BIGINT AS field_len FROM p JOIN later USING (doc_id)",
+    "engine_doc_types": "SELECT CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END AS doc_type, count(*) AS docs FROM documents GROUP BY 1",
+    "engine_ids_of_type": "SELECT doc_id FROM documents WHERE lang = 'en'",
+    "engine_document_fields": "SELECT doc_id, concat_ws(' ', CASE WHEN lang IS NOT NULL THEN 'lang' END, CASE WHEN n_chars IS NOT NULL THEN 'n_chars' END, CASE WHEN source IS NOT NULL THEN 'source' END, CASE WHEN text IS NOT NULL THEN 'text' END) AS fields FROM documents",
+}
+SQL |= {"incremental_build": SQL["build_postings"], "stream_build_postings": SQL["vocab_df"], "engine_round_trip": SQL["bm25_or"], "engine_compact": SQL["engine_replace"]}

@@ -19,7 +19,10 @@ WIKI_XML = T.StructType(
 POSTINGS = "field string, token string, doc_id long, tf int"
 DOC_STATS = "field string, doc_id long, field_len long"
 VOCAB = "field string, token string, df long, cf long"
-BUILD_LOG = "field string, doc_id long, batch_id long"
+INDEX_POSTINGS = "field string, token string, doc_id long, tf int, field_len long"
+BUILD_LOG = "field string, doc_id long, field_len long, load long, batch_id long"
+REPLACED = "field string, doc_id long"
+CORPUS = "field string, docs long, chars long"
 DICTIONARY = "name string, word string"
 TERM_RECORDS = "suffix string, id long, ref_count int"
 #: Other names under which a document's fields are known.

@@ -33,15 +33,27 @@ def write_news_xml(docs: DataFrame, path: str) -> None:
     docs.select("category", "title", "content").write.partitionBy("category").format("xml").option("rowTag", "NewsDocument").option("rootTag", "NewsDocuments").save(path)
 
 
+def _xml(spark: SparkSession, path: str, tag: str, schema: T.StructType, strict: bool, **options: str) -> DataFrame:
+    """The rows of an XML file, with what can't be read in the column `_broken`."""
+    whole = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    return spark.read.format("xml").options(rowTag=tag, mode="FAILFAST" if strict else "PERMISSIVE", columnNameOfCorruptRecord="_broken", **options).schema(whole).load(path)
+
+
+def broken_rows(spark: SparkSession, path: str, tag: str = "doc") -> DataFrame:
+    """(record): the rows of a news or wiki dump that the readers leave out, as they are written."""
+    schema = {"doc": WIKI_XML, "NewsDocument": NEWS}[tag]
+    return _xml(spark, path, tag, schema, False).filter("_broken IS NOT NULL").select(F.col("_broken").alias("record"))
+
+
 def read_news_xml(spark: SparkSession, path: str, strict: bool = False, compatible_ids: bool = True) -> DataFrame:
-    """What write_news_xml wrote. strict raises on broken rows; otherwise they are null."""
-    rows = spark.read.format("xml").option("rowTag", "NewsDocument").option("ignoreSurroundingSpaces", "false").option("mode", "FAILFAST" if strict else "PERMISSIVE").schema(T.StructType([NEWS["title"], NEWS["content"], NEWS["category"]])).load(path)
+    """What write_news_xml wrote. strict raises on broken rows; otherwise they are left out (see broken_rows)."""
+    rows = _xml(spark, path, "NewsDocument", T.StructType([NEWS["title"], NEWS["content"], NEWS["category"]]), strict, ignoreSurroundingSpaces="false").filter("_broken IS NULL")
     return _with_id(rows.select("category", "title", "content"), "Sina", compatible_ids, "category", "title")
 
 
 def read_wiki_xml(spark: SparkSession, path: str, strict: bool = False, compatible_ids: bool = True) -> DataFrame:
-    """Abstract dumps (.xml or .xml.gz): (doc_id, title, url, abstract, sublinks)."""
-    rows = spark.read.format("xml").option("rowTag", "doc").option("mode", "FAILFAST" if strict else "PERMISSIVE").schema(WIKI_XML).load(path)
+    """Abstract dumps (.xml or .xml.gz): (doc_id, title, url, abstract, sublinks). strict raises on broken rows; otherwise they are left out (see broken_rows)."""
+    rows = _xml(spark, path, "doc", WIKI_XML, strict).filter("_broken IS NULL")
     links = F.transform("links.sublink", lambda x: F.struct(x["_linktype"].alias("linktype"), x["anchor"].alias("anchor"), x["link"].alias("link")))
     return _with_id(rows.select("title", "url", "abstract", links.alias("sublinks")), "wiki", compatible_ids, "title", "url")
 
@@ -52,7 +64,14 @@ def documents(rows: DataFrame, kind: str, id_parts: list[str] | None = None, com
     return _with_id(typed, kind, compatible_ids, *id_parts) if id_parts else typed
 
 
-def latest(docs: DataFrame, order: Column, id_col: str = "doc_id") -> DataFrame:
-    """One row for each id, that with the largest order value: storing an id again replaces it."""
-    packed = docs.groupBy(id_col).agg(F.max_by(F.struct(*docs.columns), order).alias("__d"))
+def latest(docs: DataFrame, order: Column, keys: str | list[str] = "doc_id") -> DataFrame:
+    """One row for each key, that with the largest order value: storing an id again replaces it."""
+    packed = docs.groupBy(keys).agg(F.max_by(F.struct(*docs.columns), order).alias("__d"))
     return packed.select("__d.*")
+
+
+def current(stored: DataFrame) -> DataFrame:
+    """The rows of the last `load` of each doc_id. Only ids that are there more than once meet in a shuffle of whole rows."""
+    several = stored.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    alone = stored.join(several, "doc_id", "left_anti")
+    return alone.select(*stored.columns).unionByName(latest(stored.join(several, "doc_id", "left_semi").select(*stored.columns), F.col("load")))

@@ -1,7 +1,7 @@
 """Stored documents and index tables as Parquet folders.
 
 Documents are sorted by id inside their files and postings by token, with Bloom filters on these columns, so a
-lookup reads a few row groups. Appending adds files; `compact` rewrites a folder once too many of its rows are superseded.
+lookup reads a few row groups. Appending adds files; `compact` rewrites a folder of generations once too many of its rows are superseded.
 """
 
 from __future__ import annotations
@@ -11,14 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import merge_postings
-
 LIVE_RATIO = 0.4
 
 
 def write_documents(docs: DataFrame, path: str, mode: str = "append", max_records: int = 0) -> None:
     (
-        docs.repartitionByRange("doc_id")
+        docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # not by range, which would read the documents twice
         .sortWithinPartitions("doc_id")
         .write.mode(mode)
         .option("maxRecordsPerFile", max_records)
@@ -39,13 +37,16 @@ def write_postings(post: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def write_postings_bucketed(post: DataFrame, table: str, buckets: int = 64) -> None:
-    """A catalog table bucketed and sorted by token, for joins on tokens without a shuffle."""
-    post.write.partitionBy("field").bucketBy(buckets, "token").sortBy("token", "doc_id").mode("overwrite").saveAsTable(table)
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """(field, token, doc_id, tf) of a folder, with the records of all its generations (folders generation=<n>, where it has them)."""
+    post = spark.read.schema("token string, doc_id long, tf int, generation long, field string").parquet(path)
+    return post.select("field", "token", "doc_id", "tf")
 
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("token string, doc_id long, tf int, field string").parquet(path).select("field", "token", "doc_id", "tf")
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The record of the last generation of each (field, token, doc_id) in a folder with folders generation=<n>."""
+    post = spark.read.schema("token string, doc_id long, tf int, generation long, field string").parquet(path)
+    return post.groupBy("field", "token", "doc_id").agg(F.max_by("tf", F.coalesce("generation", F.lit(0))).alias("tf"))
 
 
 def fetch(docs: DataFrame, doc_ids: Sequence[int]) -> DataFrame:
@@ -71,9 +72,8 @@ def live_ratio(post: DataFrame) -> float:
 
 
 def compact(spark: SparkSession, path: str, target: str, least: float = LIVE_RATIO, force: bool = False) -> bool:
-    """Write the merged postings of `path` to the new folder `target` if under `least` of its rows are live. Readers move by switching the path."""
-    post = read_postings(spark, path)
-    if not force and live_ratio(post) >= least:
+    """Rewrite the newest postings of `path` to the new folder `target` if under `least` of its rows are live: a record replaces those of earlier generations. Readers move by switching the path."""
+    if not force and live_ratio(read_postings(spark, path)) >= least:
         return False
-    write_postings(merge_postings(post), target)
+    write_postings(newest(spark, path), target)
     return True

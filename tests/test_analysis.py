@@ -52,10 +52,19 @@ def test_english_filters(spark):
 
 
 def test_english_pipeline(spark):
-    """School, base and mountains are nouns; the capitalised name is a proper noun and so isn't kept."""
-    a = Analyzer(filters=(T.nouns(), T.lowercase, T.stop_words(), T.stems))
-    got = run(spark, "The school is located in the old revolutionary base areas in the Dabie Mountains", a)
-    assert {"school", "base"} <= set(got) and "old" not in got and "the" not in got
+    """The published example: lower case comes first, so that no name is a proper noun."""
+    text = "The school is located in the old revolutionary base areas in the Dabie Mountains"
+    assert run(spark, text, Analyzer(filters=(T.lowercase, T.nouns(), T.stop_words()))) == ["school", "base", "dabie", "mountains"]
+    assert run(spark, text, Analyzer(filters=(T.lowercase, T.nouns(), T.stop_words(), T.stems))) == ["school", "base", "dabi", "mountain"]
+
+
+def test_chinese_pipeline(spark):
+    """The published example."""
+    text = "据中央气象台网站消息，受弱冷空气影响，21日夜间至23日，新疆、内蒙古西部和东北部、青海北部、甘肃西部、东北地区等地的部分地区将有4～6℃降温"
+    want = ["中央气象台网站", "弱冷空气", "新疆", "内蒙古", "青海", "甘肃", "东北地区", "部分地区", "降温"]
+    assert run(spark, text, Analyzer("zh", filters=(T.chinese_nouns(drop_last=True),))) == want
+    assert run(spark, "我们在北京的大学学习，他喜欢音乐。", Analyzer("zh", filters=(T.chinese_nouns(),))) == ["北京", "大学学习", "音乐"]
+    assert run(spark, "", Analyzer("zh", filters=(T.chinese_nouns(),))) == []
 
 
 def test_chinese_filters(spark):

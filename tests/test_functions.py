@@ -1,3 +1,7 @@
+import hashlib
+import time
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +51,17 @@ def test_string_helpers(spark):
     assert one(spark, S.false_positive_rate(F.lit(1000), F.lit(0), 4)) == 0
 
 
+def test_hashes_and_random_numbers(spark):
+    assert one(spark, S.crc32(F.lit("some text"))) == zlib.crc32(b"some text")
+    assert one(spark, S.sha256(F.lit("some text"))) == hashlib.sha256(b"some text").hexdigest()
+    ids = [r.x for r in spark.range(2000).select(S.random_id(5).alias("x")).collect()]
+    assert len(set(ids)) == 2000 and min(ids) >= 0 and max(ids) < 1 << 62 and max(ids) > 1 << 61
+    assert 800 < sum(x & 1 for x in ids) < 1200  # the lowest bit is random too
+    several = one(spark, S.random_ids(5))
+    assert len(set(several)) == 5 and all(0 <= x < 1 << 62 for x in several)
+    assert abs(one(spark, S.now_nanos()) / 1e9 - time.time()) < 60
+
+
 @pytest.mark.parametrize("word, want", [("cat", "cat"), ("cats", "cat"), ("fish", "fish"), ("fishing", "fish"), ("fished", "fish"), ("airline", "airlin"), ("caresses", "caress"), ("generously", "generous"), ("hopping", "hop"), ("relational", "relat"), ("happy", "happi"), ("dying", "die"), ("", "")])
 def test_stem(word, want):
     assert stem(word) == want

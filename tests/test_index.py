@@ -44,28 +44,75 @@ def test_incremental_equals_full(docs):
 
 def test_store_and_compaction(spark, docs, tmp_path):
     post, path = I.postings(docs), f"{tmp_path}/p"
-    for _ in range(3):
-        store.write_postings(post, path)
-    assert round(store.live_ratio(store.read_postings(spark, path)), 3) == 0.333
+    for k in range(3):
+        store.write_postings(post.withColumn("tf", F.col("tf") + 2 - k), f"{path}/generation={k}")
+    store.write_postings(spark.createDataFrame([("text", "old", 9, 4)], post.schema), f"{path}/generation=0")
+    assert round(store.live_ratio(store.read_postings(spark, path)), 3) == 0.385
     assert store.compact(spark, path, f"{tmp_path}/q")
-    assert rows(store.read_postings(spark, f"{tmp_path}/q")) == rows(post.withColumn("tf", F.col("tf") * 3))
+    assert rows(store.read_postings(spark, f"{tmp_path}/q")) == sorted([*rows(post), ("text", "old", 9, 4)])  # the newest record of each
     assert not store.compact(spark, f"{tmp_path}/q", f"{tmp_path}/r")
     store.write_documents(docs, f"{tmp_path}/d")
     stored = spark.read.parquet(f"{tmp_path}/d")
     assert rows(store.fetch(stored, [2, 9])) == [(2, "b c")] and store.fetch_all(stored, post).count() == 2
 
 
+def test_stored_files_have_bloom_filters(spark, docs, tmp_path):
+    """The footers tell where the filters are, by the library that Spark itself reads with."""
+    many = spark.range(5000).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    store.write_documents(many, f"{tmp_path}/d")
+    store.write_postings(I.postings(many), f"{tmp_path}/p")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder, column in (("d", "doc_id"), ("p", "token")):
+        for f in (tmp_path / folder).rglob("*.parquet"):
+            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(f)), conf)
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+            for block in reader.getFooter().getBlocks():
+                found = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in block.getColumns()}
+                assert found[column] > 0
+            reader.close()
+
+
+def test_fields_of_documents(spark, docs):
+    assert {r.doc_id: r.fields for r in I.document_fields(docs).collect()} == {1: ["text"], 2: ["text"], 3: [], 4: ["text"]}
+
+
+def test_texts_in_one_file_are_analyzed_by_all_tasks(spark, tmp_path):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('word', id % 7, ' and more') AS text").coalesce(1)
+    spread = I.postings(docs)
+    assert spread.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan  # of texts; tokens are counted where they are
+    assert min(spread.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()) > 500
+
+
 def test_stream_build_counts_each_document_once(spark, docs, tmp_path):
     source = f"{tmp_path}/in"
     docs.repartition(3, "doc_id").write.parquet(source)
     stream_build(document_stream(spark, source, docs.schema, 1), f"{tmp_path}/i", f"{tmp_path}/c").awaitTermination()
     docs.write.mode("append").parquet(source)  # the same documents again
     stream_build(document_stream(spark, source, docs.schema, 1), f"{tmp_path}/i", f"{tmp_path}/c").awaitTermination()
-    assert rows(read_index(spark, f"{tmp_path}/i", "postings")) == rows(I.postings(docs))
+    short = lambda df: rows(df.drop("field_len", "batch"))
+    assert short(read_index(spark, f"{tmp_path}/i", "postings")) == rows(I.postings(docs))
     assert read_index(spark, f"{tmp_path}/i", "log").count() == 4
-    build_batch(docs, 0, f"{tmp_path}/i2")
-    build_batch(docs, 0, f"{tmp_path}/i2")  # a batch that runs again replaces itself
-    assert rows(read_index(spark, f"{tmp_path}/i2", "postings")) == rows(I.postings(docs))
+    build_batch(docs, 1, f"{tmp_path}/i2")
+    build_batch(docs, 1, f"{tmp_path}/i2")  # a batch that runs again replaces itself
+    assert short(read_index(spark, f"{tmp_path}/i2", "postings")) == rows(I.postings(docs))
+
+
+def test_stream_by_interval_tells_of_its_batches(spark, docs, tmp_path):
+    """The timer of the stream persists each batch by itself."""
+    import time
+
+    source, told = f"{tmp_path}/in", []
+    docs.coalesce(1).write.parquet(source)
+    running = stream_build(document_stream(spark, source, docs.schema, 1), f"{tmp_path}/i", f"{tmp_path}/c", interval="1 second", done=lambda batch, n: told.append((batch, n)))
+    try:
+        until = time.time() + 90
+        while not told and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        running.stop()
+    assert told == [(1, 4)] and read_index(spark, f"{tmp_path}/i", "log").count() == 4
 
 
 def test_dictionary(spark):
@@ -120,3 +167,13 @@ def test_wiki_loader(spark, tmp_path):
         f.write(xml)
     r = loaders.read_wiki_xml(spark, str(tmp_path / "w.xml.gz")).first()
     assert (r.title, r.url, r.abstract) == ("T2", "http://x", "abc") and r.sublinks[0].asDict() == {"linktype": "menu", "anchor": "A", "link": "http://x#A"}
+
+
+def test_broken_rows_are_left_out_and_can_be_had(spark, tmp_path):
+    good = "<doc><title>T1</title><url>u</url><abstract>a</abstract></doc>"
+    (tmp_path / "w.xml").write_text(f"<feed>{good}<doc><title>T2</titel><url></doc><doc><title>T3</title><url>v</url></doc></feed>")
+    assert sorted(r.title for r in loaders.read_wiki_xml(spark, str(tmp_path / "w.xml")).collect()) == ["T1", "T3"]
+    broken = loaders.broken_rows(spark, str(tmp_path / "w.xml")).collect()
+    assert len(broken) == 1 and "T2" in broken[0].record
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        loaders.read_wiki_xml(spark, str(tmp_path / "w.xml"), strict=True).collect()

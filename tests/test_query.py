@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skriva.engine import SearchEngine
 from skriva.operators import query as Q
 from skriva.schema import NotFound, QueryLevel
+from skriva.streaming.build import read_index
 
 
 def table(spark, docs):
@@ -79,10 +80,11 @@ def test_even_groups_take_the_lower_middle(spark):
 def test_engine(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Red fish"), (2, "red Cat"), (3, "blue fish"), (4, None)], "doc_id long, text string")
     e = SearchEngine(spark, str(tmp_path), strict=True, k1=1.0, b=0.5)
-    e.load(docs.filter("doc_id < 3"))
-    assert e.build("text") == 2 and e.build("text") == 0
+    assert e.load(docs.filter("doc_id < 3"), "first") == 2
+    told = []
+    assert e.build("text", lambda batch, n: told.append((batch, n))) == 2 and e.build("text") == 0 and told == [(1, 2)]
     e.load(docs.filter("doc_id >= 2").union(spark.createDataFrame([(2, "red Cow")], docs.schema)).filter("text IS NULL OR text <> 'red Cat'"))  # 2 anew
-    assert e.build("text") == 2 and e.fields() == ["text"]
+    assert e.build("text") == 3 and e.fields() == ["text"]
     ids = lambda df: sorted(r.doc_id for r in df.collect())
     assert ids(e.query_or("RED fish", "text")) == [1, 2, 3] and ids(e.query_and("red fish", "text")) == [1]
     assert ids(e.query_and_k("red fish", "text", 0.5)) == [1, 1, 2, 3] and ids(e.query_and_k("red fish", "text", 1)) == [1]
@@ -95,6 +97,23 @@ def test_engine(spark, tmp_path):
         e.query_or("nothing", "text")
     with pytest.raises(ValueError):
         e.build("title")
+    assert ids(e.query_or("cow", "text")) == [2]  # what was loaded anew is found by its new text only
+    with pytest.raises(NotFound):
+        e.query_or("cat", "text")
+    assert {r.doc_id: r.doc_type for r in e.ids().collect()} == {1: "first", 2: None, 3: None, 4: None} and rows(e.ids("first")) == [("first", 1)]
+    assert {r.doc_type: r.docs for r in e.doc_types().collect()} == {"first": 1, None: 3}
+    assert {r.doc_id: r.fields for r in e.document_fields().collect()} == {1: ["text"], 2: ["text"], 3: ["text"], 4: []}
+    assert rows(e.stats) == [("text", 1, 8), ("text", 2, 7), ("text", 3, 9), ("text", 4, -1)]
+    assert e.corpus("text").first() == (4, 23 / 4)
+    before = rows(e.postings.drop("batch"))
+    e.keep("text")
+    assert e.postings.storageLevel.useMemory and rows(e.postings.drop("batch")) == before
+    assert e.compact(force=True) and not e.compact() and rows(e.postings.drop("batch")) == before and ids(e.query_or("cow", "text")) == [2]
+    assert e.build("text") == 0 and e.corpus("text").first() == (4, 23 / 4) and len(read_index(spark, e.path, "postings").collect()) == len(before)
+    e.load(docs.filter("doc_id = 3"), "third")
+    assert e.build("text") == 1 and ids(e.query_or("blue", "text")) == [3] and e.compact(0.9)
+    many = " ".join(f"w{k}" for k in range(13)) + " red fish"
+    assert ids(e.query_and_k_least(many, "text", 0.14)) == [1] and ids(e.query_or_k(many, "text", 0.14)) == [1, 2, 3] and rows(e.matching(many, "text", 2)) == [(1, 2)]
     scores = [r.group_score for r in e.query_or_k("red fish", "text", 0.5).collect()]
     assert scores == sorted(scores, reverse=True)
 
@@ -105,3 +124,36 @@ def test_plan_filters_postings_at_the_scan(spark, tmp_path):
     store.write_postings(table(spark, ["a b", "b c"]), f"{tmp_path}/p")
     plan = Q.query_or(store.read_postings(spark, f"{tmp_path}/p"), ["a", "b"], "text")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(token, [a,b])]" in plan.replace("IsNotNull(token), ", "") and "PartitionFilters" in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_parts_of_the_engine_can_be_replaced(spark, tmp_path):
+    calls = []
+
+    def loader(docs, path):
+        calls.append("load")
+        docs.coalesce(1).write.parquet(path)
+
+    def ranker(postings, stats, tokens, groups=None, every=False, field=None, **options):
+        found = Q.bm25(postings, stats, tokens, groups, every, field=field, **options)
+        return found.withColumn("score", F.col("doc_id").cast("double"))
+
+    e = SearchEngine(spark, str(tmp_path), loader=loader, ranker=ranker)
+    e.load(spark.createDataFrame([(1, "red"), (2, "red"), (3, "red")], "doc_id long, text string"))
+    assert e.build("text") == 3 and calls == ["load"]
+    assert [(r.doc_id, r.score) for r in e.query_or("red", "text").collect()] == [(3, 3.0), (2, 2.0), (1, 1.0)]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("gh"), st.integers(-300, 300)), min_size=1, max_size=30))
+def test_group_score_is_the_discrete_median(spark, scores):
+    ranked = spark.createDataFrame([(g, i, x / 1000) for i, (g, x) in enumerate(scores)], "token_group string, doc_id long, score double")
+    want = {g: (len(own := sorted(x / 1000 for h, x in scores if h == g)), own[(len(own) - 1) // 2]) for g in {g for g, _ in scores}}
+    assert {r.token_group: (r.docs, r.group_score) for r in Q.group_scores(ranked).collect()} == want
+
+
+def test_no_query_reads_a_table_of_all_documents(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path))
+    e.load(spark.createDataFrame([(1, "red fish"), (2, "blue fish")], "doc_id long, text string"))
+    e.build("text")
+    plan = e.query_or("fish", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "/postings]" in plan and "/log]" not in plan and "/documents]" not in plan and "In(token" in plan or "EqualTo(token" in plan
