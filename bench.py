@@ -1,6 +1,6 @@
 """Times the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS] and prints one JSON line.
 
-The index is built once and stored, as in use; queries then run against the stored index. Rates beside the seconds:
+A small index is built first, as the published rate is that of a long run. Then the index is built once and stored, as in use; queries then run against the stored index. Rates beside the seconds:
 documents a second of loading and building, percentiles of query latency.
 """
 
@@ -45,7 +45,10 @@ def main() -> None:
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     n = docs.count()
     with tempfile.TemporaryDirectory() as folder:
-        engine = SearchEngine(spark, folder)
+        small = SearchEngine(spark, f"{folder}/warm-up")  # compiles what is timed; its figures aren't kept
+        small.load(docs.limit(300))
+        small.build("text")
+        engine = SearchEngine(spark, f"{folder}/engine")
         timed("load", lambda: engine.load(docs))
         timed("index_build", lambda: engine.build("text"))
         text, short = " ".join(QUERY_TOKENS), " ".join(SHORT_TOKENS)

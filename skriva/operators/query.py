@@ -166,12 +166,12 @@ def group_scores(ranked: DataFrame) -> DataFrame:
     of stretches of BIN tell which stretch it is in, and the counts of the scores in that stretch tell the score.
     """
     order = Window.partitionBy("token_group").orderBy("bin")
-    bins = ranked.groupBy("token_group", F.floor(F.col("score") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    counts = ranked.groupBy("token_group", "score").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("score") / BIN))
+    bins = counts.groupBy("token_group", "bin").agg(F.sum("n").alias("n"))
     summed = bins.select("*", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("token_group")).alias("docs"))
     place = F.floor((F.col("docs") + 1) / 2)
     inside = summed.filter((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select("token_group", "bin", "docs", (place - F.col("upto") + F.col("n")).alias("place"))
-    near = ranked.withColumn("bin", F.floor(F.col("score") / BIN)).join(F.broadcast(inside), ["token_group", "bin"])  # one row a group, at most 2^MAX_TOKENS
-    scores = near.groupBy("token_group", "score").agg(F.count("*").alias("n"), F.first("docs").alias("docs"), F.first("place").alias("place"))
+    scores = counts.join(F.broadcast(inside), ["token_group", "bin"])  # one row a group, at most 2^MAX_TOKENS
     counted = scores.withColumn("upto", F.sum("n").over(Window.partitionBy("token_group").orderBy("score")))
     return counted.filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))).select("token_group", "docs", F.col("score").alias("group_score"))
 
