@@ -3,15 +3,16 @@
 A document's code length is the sum over its bytes of -log2 p. p comes from the longest context (ORDER bytes at most)
 of the trie; where the byte is new there, the model escapes to the next shorter context with the estimate of method C
 (distinct / (total + distinct)) and excludes the symbols of the longer one; after the empty context all
-unseen bytes are equally likely. Counts are of all documents, in two folds by a hash of the text: each document is
-scored by the other fold, so no text predicts itself, and equal texts are in one fold.
+unseen bytes are equally likely. Counts are of all documents, in FOLDS folds by a hash of id and text: each document is
+scored by the counts of the whole corpus without its own fold, so by 15 of 16 documents and never by itself. Copies under other ids are
+other documents: they predict each other, but for the one in FOLDS that falls into the same fold, so what occurs twice costs fewer bits than what occurs once.
 
 Method. With counts at rest the bits of a byte depend only on its gram (ORDER context bytes and itself), so:
 1. documents are grouped into blocks of about BLOCK_BYTES by hash; per block, numpy numbers the trie's nodes level
    by level for all positions at once and gives the distinct grams with counts;
 2. grams go by their last two context bytes into parts; as these fix the contexts of order 2 to ORDER, the bits of a
    part's grams with exclusion need no other part, but for the order-1 and order-0 counts, a table of at
-   most 2 x 256 x 256 numbers that every task gets;
+   most FOLDS x 256 x 256 numbers that every task gets;
 3. the blocks' lists of a part are merged FAN at a time, level by level, into one list of distinct grams with counts;
 4. every FAN blocks' lists of a part meet that list in a task of their own, which answers them, and the blocks add
    the bits up by document.
@@ -22,9 +23,10 @@ lists of a part, or a part's distinct grams, which a language bounds. Grams and
 documents. `Model` is the same as plain dictionaries, and what the tests hold the distributed form against.
 
 Defined results: null and empty texts have 0 bytes, 0 bits and null bits a byte; a document starts in a context of
-zero bytes; with one distinct text its other fold is empty and a byte costs 8 bits; repeated rows are counted
-and scored as often as they occur; a null doc_id passes through; an empty table gives an empty result; further
-columns are ignored.
+zero bytes; with a single document the other folds are empty and a byte costs 8 bits; rows that are equal in id and text are one document
+that is counted and reported as often as they occur (so they travel once, however many they are); a null doc_id passes through, such rows are told apart by their texts; a text of any length is
+one document of one block; an empty table gives an empty result; further
+columns, also of names that differ by case only, are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, shared_path
+from .common import cut, exact, load, shared_path
 
-ORDER, BLOCK_BYTES, PART_BYTES, MAX_PARTS, FAN = 4, 8 << 20, 16 << 20, 4096, 64
+ORDER, BLOCK_BYTES, PART_BYTES, MAX_PARTS, FAN, FOLDS = 4, 8 << 20, 16 << 20, 4096, 64, 16
 _DENSE = 1 << 25
 
 
@@ -98,7 +100,7 @@ def score_adaptive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def bits(texts: pa.Array) -> pa.Array:
         return pa.array([adaptive_bits(t.as_py(), order) for t in texts], pa.float64())
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.round(bits(F.col(text_col)), 3).alias("bits"))
+    rows = exact(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.round(bits("text"), 3).alias("bits"))
     return rows.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 6)))
 
 
@@ -159,10 +161,14 @@ def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return (((grams >> 8) & 0xFFFF) * 40503 >> 4) % parts
 
 
-def block_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending grams, counts) of the texts."""
+def block_grams(texts: list[bytes], times: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending grams, counts) of the texts, each occurring so many times."""
     node, value, _ = number_grams(texts, order)
-    counts = np.bincount(node, minlength=len(value))
+    if (times == 1).all():
+        counts = np.bincount(node, minlength=len(value))
+    else:
+        counts = np.zeros(len(value), np.int64)
+        np.add.at(counts, node, np.repeat(times, [len(t) for t in texts]))
     return value[counts > 0], counts[counts > 0]
 
 
@@ -230,15 +236,16 @@ def _squeeze(counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").tobytes())
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct grams, their counts in either fold) of rows (grams, n0, n1), where a null has no counts."""
+def _merged(table: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams, their counts in each fold) of rows (grams, folds), where a null in folds has no counts."""
     lists = [unpack(x) for x in table.column("grams").to_pylist()]
     grams = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
-    train = np.zeros((2, len(grams)), np.int64)
-    for f in (0, 1):
-        for g, n in zip(lists, table.column(f"n{f}").to_pylist()):
+    train = np.zeros((folds, len(grams)), np.int64)
+    for g, each in zip(lists, table.column("folds").to_pylist()):
+        at = np.searchsorted(grams, g)
+        for f, n in enumerate(each):
             if n is not None:
-                train[f][np.searchsorted(grams, g)] += np.frombuffer(zstandard.ZstdDecompressor().decompress(n), "<i8")
+                train[f][at] += np.frombuffer(zstandard.ZstdDecompressor().decompress(n), "<i8")
     return grams, train
 
 
@@ -246,58 +253,76 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
+def _distinct(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, times): rows that are equal in both are one. Only such rows meet in a shuffle of texts; the others are found to be alone by 16 bytes each."""
+    own = F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")
+    rows = exact(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", "text", *own)
+    again = cut(rows.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1"))
+    if again.isEmpty():
+        return rows.select("doc_id", "text", F.lit(1).cast("long").alias("times"))
+    alone = rows.join(again, ["a", "b"], "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("times"))
+    one = rows.join(again, ["a", "b"]).groupBy("a", "b").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("times").alias("times"))
+    return alone.union(one.select("doc_id", "text", "times"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN, folds: int = FOLDS) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) of every row."""
     if not 2 <= order <= 6:
         raise ValueError("order must be from 2 to 6")
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    half = max(1, -(-total // (2 * block_bytes)))
+    own = _distinct(docs, id_col, text_col)
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    half = max(1, -(-total // (folds * block_bytes)))
     parts = min(MAX_PARTS, max(4, -(-total // part_bytes)))
-    chunks = -(-2 * half // fan)
-    fold = F.pmod(F.xxhash64(text_col), F.lit(2))
-    block = F.pmod(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.lit(half)) * 2 + fold
-    rows = docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chunks = -(-folds * half // fan)
+    fold = F.pmod(F.xxhash64("doc_id", "text"), F.lit(folds))
+    block = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(half)) * folds + fold
+    rows = own.select(block.alias("block"), "doc_id", "text", "times")
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        grams, counts = block_grams(_texts(table), order)
+        grams, counts = block_grams(_texts(table), table.column("times").to_numpy(), order)
         part = part_of(grams, parts)
         by = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[by], np.arange(parts + 1))
-        pairs = np.bincount(grams & 0xFFFF, counts, 1 << 16).astype(np.int64) if len(grams) else np.zeros(1 << 16, np.int64)
+        pairs = np.zeros(1 << 16, np.int64)
+        np.add.at(pairs, grams & 0xFFFF, counts)
         some = [(p, by[a:b]) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
         out = [(p, pack(grams[i]), _squeeze(counts[i])) for p, i in some]
         seen = np.flatnonzero(pairs)
         if len(seen):
             out.append((-1, seen.astype("<i8").tobytes(), _squeeze(pairs[seen])))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64()), "part": pa.array([x[0] for x in out], pa.int64()), "grams": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
+        columns = [pa.array([key[0].as_py()] * len(out), pa.int64()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))]
+        return pa.table(columns, ["block", "part", "grams", "counts"])
 
     path = shared_path(spark, "grams")
     rows.groupBy("block").applyInArrow(count, "block long, part long, grams binary, counts binary").write.parquet(path)
     lists = spark.read.parquet(path)
 
     def add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << 16), np.int64)
+        sums = np.zeros((folds, 1 << 16), np.int64)
         for b in batches:
             for k, g, c in zip(b.column("block").to_pylist(), b.column("grams").to_pylist(), b.column("counts").to_pylist()):
-                sums[k % 2][np.frombuffer(g, "<i8")] += np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<i8")
+                sums[k % folds][np.frombuffer(g, "<i8")] += np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<i8")
         f, g = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(sums[f, g])], ["fold", "pair", "n"])
 
-    pairs = np.zeros((2, 256, 256), np.int64)  # at most 2 x 65536 rows, however large the corpus
+    pairs = np.zeros((folds, 256, 256), np.int64)  # at most FOLDS x 65536 rows, however large the corpus
     for r in lists.filter("part = -1").mapInArrow(add_pairs, "fold long, pair long, n long").groupBy("fold", "pair").agg(F.sum("n").alias("n")).toLocalIterator():
         pairs[r.fold, r.pair >> 8, r.pair & 255] = r.n
+    pairs = pairs.sum(axis=0) - pairs  # of the corpus without the fold
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        grams, train = _merged(table)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "chunk": pa.array([key[1].as_py()], pa.int64()), "grams": pa.array([pack(grams)], pa.binary()), "n0": pa.array([_squeeze(train[0])], pa.binary()), "n1": pa.array([_squeeze(train[1])], pa.binary())})
+        grams, train = _merged(table, folds)
+        each = [_squeeze(n) if n.any() else None for n in train]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "chunk": pa.array([key[1].as_py()], pa.int64()), "grams": pa.array([pack(grams)], pa.binary()), "folds": pa.array([each], pa.list_(pa.binary()))})
 
-    chunk, fold_of = F.floor(F.col("block") / fan).alias("chunk"), F.pmod("block", F.lit(2))
-    asked = lists.filter("part >= 0").select("part", chunk, "block", "grams", F.when(fold_of == 0, F.col("counts")).alias("n0"), F.when(fold_of == 1, F.col("counts")).alias("n1"))
+    chunk, fold_of = F.floor(F.col("block") / fan).alias("chunk"), F.pmod("block", F.lit(folds))
+    by_fold = F.array(*[F.when(fold_of == f, F.col("counts")) for f in range(folds)])
+    asked = lists.filter("part >= 0").select("part", chunk, "block", "grams", by_fold.alias("folds"))
     model, left = asked.drop("block"), chunks
     while True:
         path = shared_path(spark, "merged")
-        model.groupBy("part", "chunk").applyInArrow(merge, "part long, chunk long, grams binary, n0 binary, n1 binary").write.parquet(path)
+        model.groupBy("part", "chunk").applyInArrow(merge, "part long, chunk long, grams binary, folds array<binary>").write.parquet(path)
         model = spark.read.parquet(path)
         if left <= 1:
             break
@@ -310,14 +335,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         bits: list[bytes] = [b""] * len(blocks)
         if blocks:
             lists_ = [unpack(x) for x in left.column("grams").to_pylist()]
-            grams, train = _merged(right)
-            for f in (0, 1):
-                mine = [i for i, k in enumerate(blocks) if k % 2 == f]
-                if mine:
-                    wanted = np.unique(np.concatenate([lists_[i] for i in mine]))
-                    value = gram_bits(grams, train[1 - f], wanted, pairs[1 - f], order)
-                    for i in mine:
-                        bits[i] = value[np.searchsorted(wanted, lists_[i])].astype("<f4").tobytes()
+            grams, train = _merged(right, folds)
+            whole = train.sum(axis=0)
+            for f in {k % folds for k in blocks}:
+                mine = [i for i, k in enumerate(blocks) if k % folds == f]
+                wanted = np.unique(np.concatenate([lists_[i] for i in mine]))
+                value = gram_bits(grams, whole - train[f], wanted, pairs[f], order)
+                for i in mine:
+                    bits[i] = value[np.searchsorted(wanted, lists_[i])].astype("<f4").tobytes()
         return pa.table({"block": left.column("block"), "grams": left.column("grams"), "bits": pa.array(bits, pa.binary())})
 
     answers = asked.select("part", "chunk", "block", "grams").groupBy("part", "chunk").cogroup(model.groupBy("part", "chunk")).applyInArrow(answer, "block long, grams binary, bits binary")
@@ -333,9 +358,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         sums = np.concatenate([[0.0], np.cumsum(own[node])])
         lengths = np.array([len(t) for t in texts], np.int64)
         bits = np.round(sums[starts + lengths] - sums[starts], 3)
-        return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(lengths), "bits": pa.array(bits), "bits_per_byte": pa.array([None if not n else round(b / n, 6) for b, n in zip(bits.tolist(), lengths.tolist())], pa.float64())})
+        each = [None if not n else round(b / n, 6) for b, n in zip(bits.tolist(), lengths.tolist())]
+        return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(lengths), "bits": pa.array(bits), "bits_per_byte": pa.array(each, pa.float64()), "times": left.column("times")})
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {id_type}, n_bytes long, bits double, bits_per_byte double")
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {id_type}, n_bytes long, bits double, bits_per_byte double, times long")
+    return scored.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("doc_id", "n_bytes", "bits", "bits_per_byte")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

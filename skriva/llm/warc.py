@@ -11,7 +11,8 @@ runs again replaces it by the same bytes. The index is written by Spark's commit
 
 Defined results: a null payload is an empty block and a null url leaves out WARC-Target-URI; null ids are kept;
 equal rows give records with the same identifier, each at its own place; a record longer than a frame has a
-frame of its own; an empty table gives an empty index; further columns are ignored. Line ends inside a
+frame of its own, however long; an empty table gives an empty index; further columns, also of names that differ by case only, are ignored. As pages
+have no date, WARC-Date is that of the epoch. Line ends inside a
 url are escaped, as a header can't hold them.
 """
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, shared_path
+from .common import at, load, placed, shared_path
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 512 << 20, 3
 DATE = "1970-01-01T00:00:00Z"
@@ -37,6 +38,16 @@ SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 INDEX = "id {id}, record_id string, bundle string, frame int, frame_offset long, record_offset long, record_length long, sha1 string"
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, under the names that Hadoop's connectors give to the same stores; NotImplementedError, before any work, for others."""
+    scheme, colon, rest = uri.partition(":")
+    known = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}.get(scheme, scheme)
+    try:
+        return fs.FileSystem.from_uri(f"{known}{colon}{rest}")
+    except (pa.ArrowInvalid, ValueError) as e:
+        raise NotImplementedError(f"bundles can't be written to {scheme}: use file, hdfs, s3a, gs or abfss ({e})") from None
+
+
 def record(row_id: object, url: str | None, payload: bytes | None, date: str = DATE) -> tuple[str, str, bytes]:
     """(identifier, SHA-1 of the payload, the record's bytes)."""
     body = payload or b""
@@ -118,9 +129,10 @@ def write_bundles(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     frame begins in the bundle, record_offset where the record begins in the plain frame.
     """
     schema = INDEX.format(id=df.schema[id_col].dataType.simpleString())
+    filesystem(f"{path}/bundles")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = fs.FileSystem.from_uri(f"{path}/bundles")
+        system, folder = filesystem(f"{path}/bundles")
         system.create_dir(folder, recursive=True)
         task, number, bundle, rows = TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
@@ -140,11 +152,20 @@ def write_bundles(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
         if bundle is not None:
             bundle.close()
 
-    rows = df.select(F.col(id_col), F.col(url_col).cast("string"), F.col(payload_col).cast("binary"))
+    rows = placed(df).select(F.col(at(df, id_col)), F.col(at(df, url_col)).cast("string"), F.col(at(df, payload_col)).cast("binary"))
     rows.mapInArrow(pack, schema).write.parquet(f"{path}/index")
+    remove_spare(f"{path}/bundles")
     return df.sparkSession.read.schema(schema).parquet(f"{path}/index")
 
 
+def remove_spare(folder: str) -> None:
+    """What tasks left that were lost before they could name their bundle."""
+    system, place = filesystem(folder)
+    for x in system.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+        if x.is_file and not x.path.endswith(".warc.zst"):
+            system.delete_file(x.path)
+
+
 def _index_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     kinds = [kind, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     names = ["id", "record_id", "bundle", "frame", "frame_offset", "record_offset", "record_length", "sha1"]
@@ -153,10 +174,10 @@ def _index_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def read_record(path: str, bundle: str, frame: int, offset: int, length: int) -> bytes:
     """One record, from one frame."""
-    system, folder = fs.FileSystem.from_uri(f"{path}/bundles")
+    system, folder = filesystem(f"{path}/bundles")
     with system.open_input_file(f"{folder}/{bundle}") as f:
-        at, size, plain = read_seek_table(f)[frame]
-        f.seek(at)
+        begin, size, plain = read_seek_table(f)[frame]
+        f.seek(begin)
         return zstandard.ZstdDecompressor().decompress(f.read(size), plain)[offset : offset + length]
 
 
@@ -165,7 +186,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
     schema = index.select("id", "record_id", "bundle", "frame", "frame_offset", "record_offset", "record_length", "sha1")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = fs.FileSystem.from_uri(f"{path}/bundles")
+        system, folder = filesystem(f"{path}/bundles")
         unpack = zstandard.ZstdDecompressor()
         name, f, table, held, plain = None, None, [], None, b""
         for batch in batches:
@@ -177,8 +198,8 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
                     f, name, held = system.open_input_file(f"{folder}/{bundle}"), bundle, None
                     table = read_seek_table(f)
                 if frame != held:
-                    at, size, full = table[frame]
-                    f.seek(at)
+                    begin, size, full = table[frame]
+                    f.seek(begin)
                     plain, held = unpack.decompress(f.read(size), full), frame
                 out.append(payload_of(plain[offset : offset + length]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "payload"])

@@ -64,3 +64,14 @@ def test_edge_cases(spark, tmp_path):
 def test_query(spark):
     rows = W.query(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 50 and all(r.intact for r in rows)
+
+
+def test_stores_and_spare_files(spark, tmp_path):
+    assert W.filesystem("s3a://bucket/x/bundles?region=us-east-1")[1] == "bucket/x/bundles" and W.filesystem(f"file://{tmp_path}")[1] == str(tmp_path)
+    df, rows = pages(spark)
+    with pytest.raises(NotImplementedError):
+        W.write_bundles(df, "wasbs://c@a.blob/x")
+    (tmp_path / "w/bundles").mkdir(parents=True)
+    (tmp_path / "w/bundles/part-000000-0000.warc.zst.0123").write_bytes(b"a task that was lost")
+    W.write_bundles(df, f"file://{tmp_path}/w")
+    assert all(p.name.endswith(".warc.zst") for p in (tmp_path / "w/bundles").iterdir())
