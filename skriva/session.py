@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,6 +25,7 @@ def get_spark(app: str = "skriva", master: str | None = None, **conf: str) -> Sp
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
@@ -47,3 +50,24 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Remove a folder that isn't read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clean_shared(spark: SparkSession, hours: float = 24.0) -> list[str]:
+    """Remove the folders of `shared_path` that are older than that, which results have been read from; gives their names.
+
+    A result is read from its folder lazily, so nothing but the caller knows when it is done with.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system, gone = root.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for x in system.listStatus(root) if system.exists(root) else []:
+        name = x.getPath().getName()
+        if re.search(r"-[0-9a-f]{32}(-compact)?$", name) and x.getModificationTime() < (time.time() - 3600 * hours) * 1000:
+            system.delete(x.getPath(), True)
+            gone.append(name)
+    return gone

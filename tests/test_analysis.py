@@ -42,6 +42,13 @@ def test_tokenizer_property(spark, text):
     assert run(spark, text, K.english) == brute_tokens(text)
 
 
+def test_positions_in_a_field_of_very_many_pieces(spark):
+    for n in (511, 512, 513, 514, 20_000):
+        text = "-".join("ab" for _ in range(n))
+        got = run(spark, f"x:y {text}", K.english_positions)
+        assert [tuple(r) for r in got] == [(0, "x", 0)] + [(1, "-ab" if k else "ab", 3 * k - (k > 0)) for k in range(n - 1)], n
+
+
 def test_english_filters(spark):
     assert run(spark, "HELLO! THIS Is My Dog", lambda t: T.lowercase(F.array(t))) == ["hello! this is my dog"]
     assert run(spark, "cat cats fish fishing fished airline", lambda t: T.stems(K.english(t))) == "cat cat fish fish fish airlin".split()

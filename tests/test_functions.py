@@ -77,3 +77,16 @@ def test_noun_runs():
     assert noun_runs(words[:2], drop_last=True) == ["a"]
     tagger = DictionaryTagger({"天气": "n", "预报": "n", "很": "d"})
     assert noun_runs(tagger("天气预报很好")) == ["天气预报"]
+
+
+def test_folders_of_results_can_be_removed(spark, tmp_path):
+    from skriva.session import clean_shared, remove_shared, shared_dir, shared_path
+
+    one, two = shared_path(spark, "some"), shared_path(spark, "other")
+    for p in (one, two):
+        spark.range(3).write.parquet(p)
+    name = one.rpartition("/")[2]
+    assert name not in clean_shared(spark) and spark.read.parquet(one).count() == 3
+    remove_shared(spark, two)
+    removed = clean_shared(spark, -1.0)
+    assert name in removed and two.rpartition("/")[2] not in removed and shared_dir(spark)
