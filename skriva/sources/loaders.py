@@ -34,15 +34,15 @@ def write_news_xml(docs: DataFrame, path: str) -> None:
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: T.StructType, strict: bool, **options: str) -> DataFrame:
-    """The rows of an XML file, with what can't be read in the column `_broken`."""
+    """The rows of an XML file, with what can't be read in the column `_broken`. The parser is the one that takes each row apart, so a broken one doesn't end the file."""
     whole = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    return spark.read.format("xml").options(rowTag=tag, mode="FAILFAST" if strict else "PERMISSIVE", columnNameOfCorruptRecord="_broken", **options).schema(whole).load(path)
+    return spark.read.format("xml").options(rowTag=tag, mode="FAILFAST" if strict else "PERMISSIVE", columnNameOfCorruptRecord="_broken", useLegacyXMLParser="true", **options).schema(whole).load(path)
 
 
 def broken_rows(spark: SparkSession, path: str, tag: str = "doc") -> DataFrame:
-    """(record): the rows of a news or wiki dump that the readers leave out, as they are written."""
+    """(record, title): the rows of a news or wiki dump that the readers leave out, as they are written, with the title as far as it could be read."""
     schema = {"doc": WIKI_XML, "NewsDocument": NEWS}[tag]
-    return _xml(spark, path, tag, schema, False).filter("_broken IS NOT NULL").select(F.col("_broken").alias("record"))
+    return _xml(spark, path, tag, schema, False).filter("_broken IS NOT NULL").select(F.col("_broken").alias("record"), "title")
 
 
 def read_news_xml(spark: SparkSession, path: str, strict: bool = False, compatible_ids: bool = True) -> DataFrame:

@@ -81,7 +81,7 @@ def test_texts_in_one_file_are_analyzed_by_all_tasks(spark, tmp_path):
     spread = I.postings(docs)
     assert spread.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = spread._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan  # of texts; tokens are counted where they are
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan  # of texts; tokens are counted where they are
     assert min(spread.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()) > 500
 
 
@@ -171,9 +171,9 @@ def test_wiki_loader(spark, tmp_path):
 
 def test_broken_rows_are_left_out_and_can_be_had(spark, tmp_path):
     good = "<doc><title>T1</title><url>u</url><abstract>a</abstract></doc>"
-    (tmp_path / "w.xml").write_text(f"<feed>{good}<doc><title>T2</titel><url></doc><doc><title>T3</title><url>v</url></doc></feed>")
+    (tmp_path / "w.xml").write_text(f"<feed>{good}<doc><title>T2</titel></doc><doc><title>T3</title><url>v</url></doc></feed>")
     assert sorted(r.title for r in loaders.read_wiki_xml(spark, str(tmp_path / "w.xml")).collect()) == ["T1", "T3"]
     broken = loaders.broken_rows(spark, str(tmp_path / "w.xml")).collect()
-    assert len(broken) == 1 and "T2" in broken[0].record
+    assert len(broken) == 1 and broken[0].record.startswith("<doc><title>T2")
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
         loaders.read_wiki_xml(spark, str(tmp_path / "w.xml"), strict=True).collect()
