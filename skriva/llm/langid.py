@@ -27,9 +27,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import at, load, placed
+from .common import at, cut, load, placed
 
-DICT_BYTES, MAX_SAMPLE, RUN = 32 << 10, 64, 256
+DICT_BYTES, MAX_SAMPLE, RUN, MAX_BROADCAST = 32 << 10, 64, 256, 100_000
 PIECE, LEVEL, MARGIN = 1024, 6, 0.02
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -74,11 +74,13 @@ class Classifier:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = MAX_SAMPLE) -> Classifier:
     """A classifier from a bounded sample of the rows with a language."""
     known = placed(docs).select(F.col(at(docs, id_col)).alias("i"), F.col(at(docs, lang_col)).alias("l"), F.col(at(docs, text_col)).alias("t")).filter("i IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL")
-    # about twice the sample passes the hash, then the exact number is taken by order; each task cuts its own rows first
-    share = known.groupBy("l").agg(F.least(F.lit(float(1 << 31)), F.lit(2.0 * (max_sample + 8) * (1 << 31)) / F.count("*")).alias("share"))
-    drawn = known.withColumn("h", F.xxhash64("i")).join(share, "l").filter(F.pmod("h", F.lit(1 << 31)) < F.col("share"))
-    first = Window.partitionBy("l").orderBy("h", "i", "t")
-    rows = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= max_sample).select("l", "n", "t").orderBy("l", "n").toLocalIterator()  # a language at a time
+    hashed = known.withColumn("h", F.xxhash64("i"))
+    # the ids first, without texts; each task cuts its own rows before they are shuffled by language
+    of_lang = Window.partitionBy("l")
+    ids = cut(hashed.select("l", "h", "i").withColumn("n", F.row_number().over(of_lang.orderBy("h", "i"))).filter(F.col("n") <= max_sample).select("l", "i").distinct())
+    few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids  # max_sample ids a language
+    drawn = hashed.join(few, ["l", "i"]).withColumn("n", F.row_number().over(of_lang.orderBy("h", "i", "t")))
+    rows = drawn.filter(F.col("n") <= max_sample).select("l", "n", "t").orderBy("l", "n").toLocalIterator()  # a language at a time
     return Classifier({lang: dictionary([r.t for r in own]) for lang, own in groupby(rows, key=lambda r: r.l)})
 
 
