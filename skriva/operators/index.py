@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ALIASES
+from ..session import TASK_BYTES, stored_bytes, tasks
 from .filters import TokenFilter, chain, lowercase
 from .tokenize import chinese_segments, english
 
@@ -54,16 +55,17 @@ def _length(unit: str):
     return {"chars": F.char_length, "bytes": F.octet_length}[unit]
 
 
-def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, id_col: str = "doc_id", binary_tf: bool = False, unit: str | None = None) -> DataFrame:
+def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, id_col: str = "doc_id", binary_tf: bool = False, unit: str | None = None, parts: int | None = None) -> DataFrame:
     """(field, token, doc_id, tf): occurrences of each token in each document; tf is 1 throughout with binary_tf. With a unit also field_len, as in doc_stats.
 
     Documents are spread by their id first, so that texts in few files still are analyzed by all cores. As tokens of a document then are in
-    one place, they are counted there: texts are shuffled, but no tokens.
+    one place, they are counted there: texts are shuffled, but no tokens. The number of tasks, where `parts` doesn't give it, goes with the
+    stored size of the documents.
     """
     column = F.col(field_column(docs, field))
     spark = docs.sparkSession
     length = [_length(unit)(column).cast("long").alias("field_len")] if unit else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), column.alias("__text"), *length).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), column.alias("__text"), *length).repartition(parts or tasks(spark, stored_bytes(docs), TASK_BYTES), "doc_id")
     tokens = rows.select("doc_id", F.explode(analyzer(F.col("__text"))).alias("token"), *["field_len"] * len(length))
     counted = tokens.groupBy("doc_id", "token").agg(F.count("*").cast("int").alias("tf"), *[F.max("field_len").alias("field_len")] * len(length))
     return counted.select(F.lit(field).alias("field"), "token", "doc_id", (F.lit(1) if binary_tf else F.col("tf")).alias("tf"), *["field_len"] * len(length))

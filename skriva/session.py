@@ -7,7 +7,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "skriva", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,6 +32,22 @@ def get_spark(app: str = "skriva", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+#: What one task takes at most of stored bytes, of characters of text and of postings.
+TASK_BYTES, TASK_CHARS, TASK_ROWS = 8 << 20, 16 << 20, 1_000_000
+
+
+def tasks(spark: SparkSession, amount: int, each: int) -> int:
+    """As many tasks as the session has shuffle partitions, and more where a task would get more than `each` of the amount: its memory doesn't grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of what df reads, by the optimizer's figures; sources of unknown size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 

@@ -177,3 +177,25 @@ def test_broken_rows_are_left_out_and_can_be_had(spark, tmp_path):
     assert len(broken) == 1 and broken[0].record.startswith("<doc><title>T2")
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
         loaders.read_wiki_xml(spark, str(tmp_path / "w.xml"), strict=True).collect()
+
+
+def test_no_task_grows_with_the_input(spark, tmp_path, monkeypatch):
+    """More tasks for more documents or records, whatever the session's number of shuffle partitions."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id % 7, ' and more') AS text")
+    docs.write.parquet(f"{tmp_path}/d")
+    stored = spark.read.parquet(f"{tmp_path}/d")
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(I, "TASK_BYTES", 1000)
+    assert I.postings(stored).rdd.getNumPartitions() > 2 * few
+    for k in range(2):
+        store.write_postings(I.postings(stored), f"{tmp_path}/p/generation={k}")
+    monkeypatch.setattr(store, "TASK_ROWS", 500)
+    newest = store.newest(spark, f"{tmp_path}/p")
+    assert newest.rdd.getNumPartitions() == 36 and newest.count() == 9000  # 18,000 records
+    monkeypatch.setattr(store, "TASK_BYTES", 1000)
+    store.write_documents(stored, f"{tmp_path}/e")
+    assert len(list((tmp_path / "e").glob("*.parquet"))) > 2 * few
+    assert store.compact(spark, f"{tmp_path}/p", f"{tmp_path}/q", force=True) and rows(store.read_postings(spark, f"{tmp_path}/q")) == rows(I.postings(docs))
+    for f in (tmp_path / "q").rglob("*.parquet"):
+        own = [(r.token, r.doc_id) for r in spark.read.parquet(str(f)).collect()]
+        assert own == sorted(own)
