@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stem_udf
-from ..functions.tagging import ChineseTagger, EnglishTagger, noun_runs, tag_chinese, tag_english
+from ..functions.tagging import ChineseTagger, EnglishTagger, WordTagger, noun_runs, tag_chinese, tag_english
 from .dictionary_data import words
 
 TokenFilter = Callable[[Column], Column]
@@ -35,6 +37,14 @@ def min_length(n: int) -> TokenFilter:
     return lambda tokens: F.filter(tokens, lambda t: F.length(t) >= n)
 
 
+def _same_lists(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """Lists of the same sizes as `lists` with those values; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.zeros(len(lists) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 def stems(tokens: Column) -> Column:
     """Every token's stem, in place."""
 
@@ -42,23 +52,33 @@ def stems(tokens: Column) -> Column:
     def stem_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             flat = lists.flatten().dictionary_encode()
-            done = pa.array([stem(x) for x in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
-            sizes = [len(x) if x.is_valid else 0 for x in lists]
-            ends = [0]
-            for n in sizes:
-                ends.append(ends[-1] + n)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), done)
+            yield _same_lists(lists, pa.array([stem(x) for x in flat.dictionary.to_pylist()], pa.string()).take(flat.indices))
 
     return stem_all(tokens)
 
 
 def nouns(tagger: EnglishTagger = tag_english) -> TokenFilter:
-    """Keeps the tokens tagged NN or NNS. The tagger sees the whole sequence."""
+    """Keeps the tokens tagged NN or NNS. The tagger sees the whole sequence; one that tags each word by itself (WordTagger) sees each different word of a batch."""
+
+    def by_word(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().dictionary_encode()
+        words, at = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        noun = lambda first, some: np.array([tagger.word(w, first) in ("NN", "NNS") for w in some], bool)
+        kept = noun(False, words)[at]
+        heads = starts[sizes > 0]
+        kept[heads] = noun(True, [words[k] for k in at[heads]])
+        ends = np.concatenate([[0], np.cumsum(kept)])[np.append(starts, len(at))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), flat.dictionary.cast(pa.string()).take(pa.array(at[kept])))
 
     @F.arrow_udf("array<string>")
     def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            yield pa.array([[t for t, tag in zip(x, tagger(x)) if tag in ("NN", "NNS")] for x in (y or [] for y in lists.to_pylist())], pa.list_(pa.string()))
+            if isinstance(tagger, WordTagger):
+                yield by_word(lists)
+            else:
+                yield pa.array([[t for t, tag in zip(x, tagger(x)) if tag in ("NN", "NNS")] for x in (y or [] for y in lists.to_pylist())], pa.list_(pa.string()))
 
     return keep
 

@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 FIELD = r"[^\s\x{85}\p{Z}]+"
 PIECE = r"[^\s\x{85}\p{Z}][\p{L}\p{N}]*"
 STRETCH = 512
-_SEPARATOR = r"^[^\p{L}\p{N}]+"
+BARE = r"[\p{L}\p{N}]+"
 
 
 def english(text: Column, strip_separator: bool = False) -> Column:
     """Fields between white space, cut before each character that is neither letter nor number; that character stays in front.
 
-    strip_separator takes it off, and drops tokens that then are empty. A null text has no tokens.
+    strip_separator takes it off, and drops tokens that then are empty: what stays are the runs of letters and numbers. A null text has no tokens.
     """
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
-    if not strip_separator:
-        return raw
-    return F.filter(F.transform(raw, lambda t: F.regexp_replace(t, _SEPARATOR, "")), lambda t: t != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BARE if strip_separator else PIECE), F.lit(0))
 
 
 def english_positions(text: Column) -> Column:

@@ -100,3 +100,35 @@ def test_dictionaries(spark, tmp_path):
 def test_stem_postings(spark):
     post = spark.createDataFrame([("t", "cat", 1, 2), ("t", "cats", 1, 3), ("t", "cats", 2, 1)], "field string, token string, doc_id long, tf int")
     assert sorted(map(tuple, T.stem_postings(post).collect())) == [("t", "cat", 1, 5), ("t", "cat", 2, 1)]
+
+
+def test_words_that_repeat_are_tagged_once(spark, tmp_path):
+    """The tagger by words is asked once for each different word of a batch, and gives the same as for whole sequences."""
+    from skriva.functions.tagging import tag_english
+
+    texts = [(i, t) for i, t in enumerate(["Dogs Run quickly", None, "", "12 Dogs . ran", "dogs Berlin dogs Berlin", "Berlin", "the", "fish the fish dogs"] * 40)]
+    docs = spark.createDataFrame(texts, "i int, t string").coalesce(1)
+    tokens = lambda t: (t or "").split()
+    split = F.when(F.length("t") > 0, F.split("t", " ")).otherwise(F.when(F.col("t") == "", F.array().cast("array<string>")))
+    got = {r.i: r.x for r in docs.select("i", T.nouns()(split).alias("x")).collect()}
+    whole = {r.i: r.x for r in docs.select("i", T.nouns(lambda x: tag_english(x))(split).alias("x")).collect()}
+    assert got == whole == {i: [w for w, tag in zip(tokens(t), tag_english(tokens(t))) if tag in ("NN", "NNS")] for i, t in texts}
+    log = tmp_path / "asked"
+
+    class Told(type(tag_english)):
+        @staticmethod
+        def word(token, first):
+            with open(log, "a") as f:
+                f.write(f"{token} {first}\n")
+            return "NN"
+
+    assert docs.select(F.size(T.nouns(Told())(split)).alias("n")).agg(F.sum("n")).first()[0] == sum(len(tokens(t)) for _, t in texts)
+    asked = [x for x in log.read_text().splitlines() if x.endswith("False")]
+    assert len(asked) == len(set(asked)) == len({w for _, t in texts for w in tokens(t)})
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(alphabet="ab Z9.-:\n中é²́", max_size=30))
+def test_stripped_tokens_are_those_without_their_separator(spark, text):
+    bare = lambda t: F.filter(F.transform(K.english(t), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+", "")), lambda x: x != "")
+    assert run(spark, text, lambda t: K.english(t, True)) == run(spark, text, bare)
