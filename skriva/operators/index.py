@@ -51,8 +51,9 @@ def field_column(docs: DataFrame, name: str) -> str:
     raise ValueError(f"no field {name!r} in {docs.columns}")
 
 
-def _length(unit: str):
-    return {"chars": F.char_length, "bytes": F.octet_length}[unit]
+def text_length(text: Column, unit: str) -> Column:
+    """In chars or bytes."""
+    return {"chars": F.char_length, "bytes": F.octet_length}[unit](text)
 
 
 def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, id_col: str = "doc_id", binary_tf: bool = False, unit: str | None = None, parts: int | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, i
     """
     column = F.col(field_column(docs, field))
     spark = docs.sparkSession
-    length = [_length(unit)(column).cast("long").alias("field_len")] if unit else []
+    length = [text_length(column, unit).cast("long").alias("field_len")] if unit else []
     rows = docs.select(F.col(id_col).alias("doc_id"), column.alias("__text"), *length).repartition(parts or tasks(spark, stored_bytes(docs), TASK_BYTES), "doc_id")
     tokens = rows.select("doc_id", F.explode(analyzer(F.col("__text"))).alias("token"), *["field_len"] * len(length))
     counted = tokens.groupBy("doc_id", "token").agg(F.count("*").cast("int").alias("tf"), *[F.max("field_len").alias("field_len")] * len(length))
@@ -73,7 +74,7 @@ def postings(docs: DataFrame, field: str = "text", analyzer: Analyzer = LOWER, i
 
 def doc_stats(docs: DataFrame, field: str = "text", id_col: str = "doc_id", unit: str = "chars", keep: Sequence[str] = ()) -> DataFrame:
     """(field, doc_id, field_len) and the columns to keep: length in chars or bytes; -1 where the field is null."""
-    return docs.select(F.lit(field).alias("field"), F.col(id_col).alias("doc_id"), F.coalesce(_length(unit)(F.col(field_column(docs, field))), F.lit(-1)).cast("long").alias("field_len"), *keep)
+    return docs.select(F.lit(field).alias("field"), F.col(id_col).alias("doc_id"), F.coalesce(text_length(F.col(field_column(docs, field)), unit), F.lit(-1)).cast("long").alias("field_len"), *keep)
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
@@ -106,10 +107,10 @@ def term_frequency(post: DataFrame, token: str, ids: DataFrame, id_col: str = "d
     return ids.select(F.col(id_col).alias("doc_id")).join(own, "doc_id", "left").select("doc_id", F.coalesce("tf", F.lit(0)).alias("tf"))
 
 
-def document_fields(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fields): the names of the fields that a document has, those that aren't null."""
-    names = [F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in docs.columns if c != id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.array_compact(F.array(*names)).alias("fields") if names else F.array().cast("array<string>").alias("fields"))
+def document_fields(docs: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fields) and the columns to keep: the names of the fields that a document has, those that aren't null."""
+    names = [F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in docs.columns if c not in (id_col, *keep)]
+    return docs.select(F.col(id_col).alias("doc_id"), F.array_compact(F.array(*names)).alias("fields") if names else F.array().cast("array<string>").alias("fields"), *keep)
 
 
 def unbuilt(docs: DataFrame, build_log: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:

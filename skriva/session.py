@@ -48,6 +48,13 @@ def stored_bytes(df: DataFrame) -> int:
     return sum(n for n in sizes if n < 1 << 60)
 
 
+def read_parts(df: DataFrame) -> int:
+    """In how many parts df is read; 0 where a shuffle comes first, as then only running it would tell."""
+    query = df._jdf.queryExecution()
+    plan = query.executedPlan()
+    return 0 if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString() else query.toRdd().getNumPartitions()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 

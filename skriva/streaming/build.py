@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import LOWER, Analyzer, doc_stats, field_column, postings
+from ..operators.index import LOWER, Analyzer, doc_stats, field_column, postings, text_length
 from ..schema import BUILD_LOG, CORPUS, INDEX_POSTINGS, REPLACED
-from ..sources.loaders import current, latest
+from ..session import TASK_CHARS, TASK_ROWS, tasks
+from ..sources.loaders import latest
 from ..sources.store import LIVE_RATIO, write_postings
 
 TABLES = {"postings": INDEX_POSTINGS, "log": BUILD_LOG, "replaced": REPLACED, "corpus": CORPUS}
+#: So many replaced documents at most are sent to all tasks.
+FEW_IDS = 100_000
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -63,14 +66,21 @@ def read_index(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(kind).parquet(folder).select(*names.columns)
 
 
-def live_postings(spark: SparkSession, path: str) -> DataFrame:
-    """The postings that no later batch has replaced. Only an index with replaced documents needs a join for that."""
+def live_postings(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """The postings that no later batch has replaced. Only those of batches before the last that replaced any need a join for that: with the ids in
+    memory where they are few, else by hash tables of the ids, so that postings aren't sorted. parts: spread over so many tasks, for a rewrite of all."""
     post = read_index(spark, path, "postings")
-    if not any(x.startswith("batch=") for x in _names(spark, f"{index_folder(spark, path)}/replaced")):
-        return post
-    gone = read_index(spark, path, "replaced").groupBy("field", "doc_id").agg(F.max("batch").alias("__since"))
-    kept = post.join(gone, ["field", "doc_id"], "left").filter(F.col("__since").isNull() | (F.col("batch") >= F.col("__since")))
-    return kept.select(*post.columns)
+    spread = (lambda df: df.repartition(parts, "field", "doc_id")) if parts else (lambda df: df)
+    again = [int(x[6:]) for x in _names(spark, f"{index_folder(spark, path)}/replaced") if x.startswith("batch=")]
+    if not again:
+        return spread(post)
+    replaced = read_index(spark, path, "replaced")
+    few = replaced.count() <= FEW_IDS  # by the files' footers
+    gone = replaced.groupBy("field", "doc_id").agg(F.max("batch").alias("__since"))
+    later = F.col("batch") >= max(again)
+    # an outer join: the optimizer would move a left_anti one below the exchange of `spread`, which then is a second one
+    first = spread(post.filter(~later)).join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), ["field", "doc_id"], "left")
+    return first.filter(F.col("__since").isNull() | (F.col("batch") >= F.col("__since"))).select(*post.columns).unionByName(spread(post.filter(later)))
 
 
 def live_log(spark: SparkSession, path: str) -> DataFrame:
@@ -78,10 +88,24 @@ def live_log(spark: SparkSession, path: str) -> DataFrame:
     return latest(read_index(spark, path, "log"), F.col("batch"), ["field", "doc_id"])
 
 
+def _texts(rows: DataFrame, new: DataFrame, field: str, unit: str, counts: dict[int, int]) -> DataFrame:
+    """The row of each new document, one even if its load has several (then the longest). counts: of the new documents by load.
+
+    Only loads that hold new documents are read, and nothing is joined where these hold nothing else.
+    """
+    own = rows.filter(F.col("load").isin(list(counts))) if counts else rows.filter(F.lit(False))
+    if {r.load: r.n for r in own.groupBy("load").agg(F.count("*").alias("n")).collect()} == counts:
+        return own
+    ids = new.select(F.col("doc_id").alias("__id"), F.col("load").alias("__of"))
+    found = own.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("load") == F.col("__of")), "left_semi")
+    longest = F.struct(F.coalesce(text_length(F.col(field), unit), F.lit(-1)), F.col(field).alias("text"))
+    return found.groupBy("doc_id", "load").agg(F.max(longest).alias("__d")).select("doc_id", F.col("__d.text").alias(field), "load")
+
+
 def build_batch(docs: DataFrame, batch: int, path: str, field: str = "text", analyzer: Analyzer = LOWER, unit: str = "chars", done: Callable[[int, int], None] | None = None) -> int:
     """Add the documents that aren't built yet, or of a later load than the one built; a batch with the same number replaces itself.
 
-    Of several rows with one id that of the largest `load` counts, where docs has this column. Only the
+    Of several rows with one id that of the largest `load` counts, where docs has this column, and of these the longest. Only the
     field's column is read. Gives the number of documents, as it does to `done` with the batch's number.
     """
     spark, column = docs.sparkSession, field_column(docs, field)
@@ -89,25 +113,25 @@ def build_batch(docs: DataFrame, batch: int, path: str, field: str = "text", ana
     earlier = read_index(spark, path, "log").filter((F.col("batch") < batch) & (F.col("field") == field))
     built = earlier.groupBy(F.col("doc_id").alias("__built")).agg(F.max("load").alias("__load"), F.max_by("field_len", "batch").alias("__old"))
     order = (F.col("load") if "load" in docs.columns else F.lit(0)).cast("long")
-    rows = current(docs.select("doc_id", F.col(column).alias(field), order.alias("load")))
-    new = rows.join(built, F.col("doc_id") == F.col("__built"), "left").filter(F.col("__load").isNull() | (F.col("load") > F.col("__load")))
-    post = postings(new, field, analyzer, unit=unit).persist(StorageLevel.MEMORY_AND_DISK)  # else the range partitioning would analyze twice
-    write_postings(post, f"{folder}/postings/batch={batch}", "overwrite")
-    post.unpersist()
-    log = doc_stats(new, field, unit=unit, keep=("load", "__old", "__built"))
-    target = f"{folder}/log/batch={batch}"
-    spread = log.withColumn("batch_id", F.lit(batch).cast("long")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = docs.select("doc_id", F.col(column).alias(field), order.alias("load"))
+    # which documents are new is told by ids and lengths alone: texts are moved once, to be analyzed
+    lengths = doc_stats(rows, field, unit=unit, keep=("load",)).groupBy("doc_id", "load").agg(F.max("field_len").alias("field_len"))
+    last = lengths.groupBy("doc_id").agg(F.max("load").alias("load"), F.max_by("field_len", "load").alias("field_len"))
+    new = last.join(built, F.col("doc_id") == F.col("__built"), "left").filter(F.col("__load").isNull() | (F.col("load") > F.col("__load")))
+    log = new.select(F.lit(field).alias("field"), "doc_id", "field_len", "load", F.lit(batch).cast("long").alias("batch_id"), "__old", "__built").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        again = spread.filter("__built IS NOT NULL")
-        change = spread.groupBy("field").agg(F.sum(F.when(F.col("__built").isNull(), 1).otherwise(0)).alias("docs"), F.sum(F.col("field_len") - F.coalesce("__old", F.lit(0))).alias("chars"), F.count("*").alias("n"), F.count("__built").alias("again"))
-        found = change.first()
-        if found and found.again:
-            again.select("field", "doc_id").write.mode("overwrite").parquet(f"{folder}/replaced/batch={batch}")
-        change.select("field", "docs", "chars").write.mode("overwrite").parquet(f"{folder}/corpus/batch={batch}")
-        spread.select("field", "doc_id", "field_len", "load", "batch_id").write.mode("overwrite").parquet(target)  # last: only with it does the batch count
+        loads = {r.load: r for r in log.groupBy("load").agg(F.count("*").alias("n"), F.sum(F.greatest("field_len", F.lit(0))).alias("chars"), F.count("__built").alias("again")).collect()}
+        texts = _texts(rows, log, field, unit, {k: r.n for k, r in loads.items()})
+        post = postings(texts, field, analyzer, unit=unit, parts=tasks(spark, sum(r.chars for r in loads.values()), TASK_CHARS))
+        write_postings(post, f"{folder}/postings/batch={batch}", "overwrite")
+        if any(r.again for r in loads.values()):
+            log.filter("__built IS NOT NULL").select("field", "doc_id").write.mode("overwrite").parquet(f"{folder}/replaced/batch={batch}")
+        change = log.groupBy("field").agg(F.sum(F.when(F.col("__built").isNull(), 1).otherwise(0)).alias("docs"), F.sum(F.col("field_len") - F.coalesce("__old", F.lit(0))).alias("chars"))
+        change.write.mode("overwrite").parquet(f"{folder}/corpus/batch={batch}")
+        log.select("field", "doc_id", "field_len", "load", "batch_id").write.mode("overwrite").parquet(f"{folder}/log/batch={batch}")  # last: only with it does the batch count
     finally:
-        spread.unpersist()
-    n = found.n if found else 0
+        log.unpersist()
+    n = sum(r.n for r in loads.values())
     if done:
         done(batch, n)
     return n
@@ -124,7 +148,7 @@ def compact_index(spark: SparkSession, path: str, least: float = LIVE_RATIO, for
     system, _ = _file_system(spark, new)
     gone = spark._jvm.org.apache.hadoop.fs.Path
     system.delete(gone(new), True)  # what an attempt that failed left
-    write_postings(live.drop("batch"), f"{new}/postings/batch={batch}")
+    write_postings(live_postings(spark, path, tasks(spark, total, TASK_ROWS)).drop("batch"), f"{new}/postings/batch={batch}")
     read_index(spark, path, "corpus").groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("chars").alias("chars")).write.parquet(f"{new}/corpus/batch={batch}")
     live_log(spark, path).drop("batch").write.parquet(f"{new}/log/batch={batch}")
     system.create(gone(f"{new}/_READY")).close()

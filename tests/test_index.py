@@ -182,7 +182,7 @@ def test_broken_rows_are_left_out_and_can_be_had(spark, tmp_path):
 def test_no_task_grows_with_the_input(spark, tmp_path, monkeypatch):
     """More tasks for more documents or records, whatever the session's number of shuffle partitions."""
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id % 7, ' and more') AS text")
-    docs.write.parquet(f"{tmp_path}/d")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
     stored = spark.read.parquet(f"{tmp_path}/d")
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr(I, "TASK_BYTES", 1000)

@@ -157,3 +157,30 @@ def test_no_query_reads_a_table_of_all_documents(spark, tmp_path):
     e.build("text")
     plan = e.query_or("fish", "text")._jdf.queryExecution().executedPlan().toString()
     assert "/postings]" in plan and "/log]" not in plan and "/documents]" not in plan and "In(token" in plan or "EqualTo(token" in plan
+
+
+def test_texts_are_moved_once(spark, tmp_path, monkeypatch):
+    """Which documents are new is told by ids; only what a load holds beside new documents asks for a join of texts."""
+    from skriva.streaming import build
+
+    joined = []
+    plain = build._texts
+    monkeypatch.setattr(build, "_texts", lambda *a: joined.append("Join" in (t := plain(*a))._jdf.queryExecution().optimizedPlan().toString()) or t)
+    e = SearchEngine(spark, str(tmp_path))
+    docs = spark.createDataFrame([(i, f"red {i}") for i in range(6)], "doc_id long, text string")
+    e.load(docs.filter("doc_id < 4"))
+    e.build("text")
+    e.load(docs.filter("doc_id > 2"))  # 3 anew
+    e.build("text")
+    assert joined == [False, False] and sorted(r.doc_id for r in e.query_or("red", "text").collect()) == list(range(6))
+    e.load(docs.union(spark.createDataFrame([(7, "red long"), (7, "red longer"), (8, None)], docs.schema)))
+    e.load(docs.filter("doc_id = 0").withColumn("text", F.lit("blue")))  # so that the load before has more than new documents
+    assert e.build("text") == 8 and joined[2]
+    assert sorted((r.doc_id, r.token) for r in e.postings.filter("token IN ('red', 'blue', 'long', 'longer')").collect()) == [(0, "blue"), *((i, "red") for i in range(1, 6)), (7, "longer"), (7, "red")]
+    assert {r.doc_id: r.field_len for r in e.stats.collect()} == {0: 4, **{i: 5 for i in range(1, 6)}, 7: 10, 8: -1} and e.corpus("text").first().n == 8
+    assert e.build("text") == 0 and len(joined) == 4
+    want = rows(e.postings.drop("batch"))
+    monkeypatch.setattr(build, "FEW_IDS", 1)  # too many to be sent to all tasks
+    assert rows(e.postings.drop("batch")) == want and "ShuffledHashJoin" in e.postings._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(build, "TASK_ROWS", 2)
+    assert e.compact(force=True) and rows(e.postings.drop("batch")) == want and rows(e.query_or("red", "text"))
