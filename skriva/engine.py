@@ -13,7 +13,7 @@ from .operators import query as Q
 from .operators.index import LOWER, Analyzer, document_fields, vocabulary
 from .schema import NotFound, QueryLevel
 from .sources import store
-from .sources.loaders import current
+from .sources.loaders import current, latest
 from .streaming.build import build_batch, compact_index, last_batch, live_log, live_postings, read_index
 
 Loader = Callable[[DataFrame, str], None]
@@ -57,12 +57,13 @@ class SearchEngine:
 
     def ids(self, doc_type: str | None = None) -> DataFrame:
         """(doc_type, doc_id) of all documents, or of one type."""
-        every = current(self.stored.select("doc_type", "doc_id", "load")).select("doc_type", "doc_id")
+        every = latest(self.stored.select("doc_type", "doc_id", "load"), F.col("load")).select("doc_type", "doc_id")
         return every if doc_type is None else every.filter(F.col("doc_type") == doc_type)
 
     def document_fields(self) -> DataFrame:
-        """(doc_id, fields): which fields each document has."""
-        return document_fields(self.documents.drop("doc_type"))
+        """(doc_id, fields): which fields each document has. Only their names are shuffled, not what they hold."""
+        named = document_fields(self.stored.drop("doc_type"), keep=("load",))
+        return latest(named, F.col("load")).select("doc_id", "fields")
 
     @property
     def postings(self) -> DataFrame:

@@ -184,3 +184,13 @@ def test_texts_are_moved_once(spark, tmp_path, monkeypatch):
     assert rows(e.postings.drop("batch")) == want and "ShuffledHashJoin" in e.postings._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(build, "TASK_ROWS", 2)
     assert e.compact(force=True) and rows(e.postings.drop("batch")) == want and rows(e.query_or("red", "text"))
+
+
+def test_names_of_fields_are_shuffled_without_texts(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path))
+    e.load(spark.createDataFrame([(1, "red", None), (2, None, "t")], "doc_id long, text string, title string"), "a")
+    e.load(spark.createDataFrame([(2, "blue", None)], "doc_id long, text string, title string"), "b")
+    fields = e.document_fields()
+    assert {r.doc_id: sorted(r.fields) for r in fields.collect()} == {1: ["text"], 2: ["text"]} and rows(e.ids("b")) == [("b", 2)]
+    plan = fields._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange") == 1
