@@ -469,7 +469,7 @@ def news_text_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "news")
     text = F.concat_ws("\n", F.concat_ws(" ", F.lit("Talk"), "conv_id", "turn"), F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), F.lit("End"))
     rows = _table(spark, folder, "conversations").select(F.concat(F.lit("by "), F.col("role")).alias("category"), text.alias("value"))
-    rows.write.partitionBy("category").option("lineSep", "\x01").option("maxRecordsPerFile", 1).text(f"{path}/texts")
+    loaders.write_news_texts(rows, f"{path}/texts")
     read = loaders.read_news_texts(spark, f"{path}/texts")
     news = read.withColumn("category", F.substring_index("category", "=", -1)).withColumn("content", F.rtrim("content", F.lit("\x01")))
     loaders.write_news_xml(news, f"{path}/xml")

@@ -199,3 +199,17 @@ def test_no_task_grows_with_the_input(spark, tmp_path, monkeypatch):
     for f in (tmp_path / "q").rglob("*.parquet"):
         own = [(r.token, r.doc_id) for r in spark.read.parquet(str(f)).collect()]
         assert own == sorted(own)
+
+
+def test_news_texts_are_written_in_place_and_read_by_few_tasks(spark, tmp_path):
+    docs = spark.range(90).selectExpr("concat('by ', id % 3) AS category", "concat('Title ', id, '\\n中 body') AS value").coalesce(1)
+    loaders.write_news_texts(docs, f"{tmp_path}/t")
+    files = [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
+    assert len(files) == 90 and {p.suffix for p in files} == {".txt"} and {p.parent.name for p in files} == {"by 0", "by 1", "by 2"}
+    read = loaders.read_news_texts(spark, f"{tmp_path}/t")
+    assert rows(read.drop("doc_id")) == sorted((f"by {i % 3}", f"Title {i}", "\n中 body") for i in range(90))
+    assert read.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with pytest.raises(FileExistsError):
+        loaders.write_news_texts(docs, f"{tmp_path}/t")
+    with pytest.raises(Exception, match="no name of a folder"):
+        loaders.write_news_texts(docs.withColumn("category", F.lit("a/b")), f"{tmp_path}/u")
